@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from rillet.llm import exact_dedup, token_shards
+from rillet.llm import exact_dedup, pieces, quality, token_shards, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pieces": pieces.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op8_quality": quality.query,
+        "op9_toxicity": toxicity.query,
         "op10_token_shards": token_shards.query,
     }
 

@@ -98,12 +98,19 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
     def hashes(self, lower: bool = True) -> np.ndarray:
+        self.sums(lower)
+        return self.spans(self.start, self.end)
+
+    def sums(self, lower: bool) -> None:
         data = LOWER[self.data] if lower else self.data
-        up, down = powers(len(data))
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        up, self.down = powers(len(data))
+        self.upto = np.empty(len(data) + 1, np.uint64)
+        self.upto[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.upto[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of any spans of bytes, once ``hashes`` was called."""
+        return mix((self.upto[end] - self.upto[start]) * self.down[start])
 
     def pairs(self, gap: int = 1) -> np.ndarray:
         """The places of words that have a word ``gap`` further on in the same row."""
