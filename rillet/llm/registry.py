@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from rillet.llm import exact_dedup, pieces, quality, token_shards, toxicity
+from rillet.llm import exact_dedup, licenses, mixing, pieces, quality, token_shards, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_pieces": pieces.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op4_licenses": licenses.query,
+        "op5_mixing": mixing.query,
+        "op7_warc": warc.query,
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
         "op10_token_shards": token_shards.query,
@@ -16,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL}
