@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillet.llm import exact_dedup, licenses, mixing, pieces, quality, token_shards, toxicity, warc
+from rillet.llm import exact_dedup, licenses, mixing, near_dedup, pieces, quality, token_shards, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.query,
         "op4_licenses": licenses.query,
         "op5_mixing": mixing.query,
+        "op6_near_dedup": near_dedup.query,
         "op7_warc": warc.query,
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
