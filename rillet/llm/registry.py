@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rillet.llm import exact_dedup, licenses, mixing, near_dedup, pieces, quality, token_shards, toxicity, warc
+from rillet.llm import exact_dedup, licenses, mixing, near_dedup, pieces, quality, token_shards, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_pieces": pieces.query,
+        "op2_topk": topk.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_licenses": licenses.query,
         "op5_mixing": mixing.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL}
+    return {"op2_topk": topk.SQL, "op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL}
