@@ -24,5 +24,34 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in extra]).unionByName(cold.select(*rows.columns, *extra))
 
 
+#: A bitmap of ids has at most so many words of 64 bits.
+MOST_WORDS = 1 << 20
+
+
+def marked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with _in: whether ``column`` may be among ``ids`` (one column); false is certain.
+
+    The ids become a bitmap of one hash each, 64 bits an id, but never over
+    ``MOST_WORDS`` words, which is what is broadcast. Where there are more ids
+    it fills up and tells less.
+    """
+    n = ids.count()
+    words = 64
+    while words < n and words < MOST_WORDS:
+        words *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
+    bits = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(F.expr("p div 64").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
+    joined = rows.withColumn("_p", place(F.col(column))).withColumn("_w", F.expr("_p div 64")).join(F.broadcast(bits), "_w", "left")
+    return joined.withColumn("_in", F.coalesce(F.expr("shiftright(_bits, cast(_p % 64 as int)) & 1L") == 1, F.lit(False))).drop("_p", "_w", "_bits")
+
+
+def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` but those whose ``column`` is among ``ids``; only those that may be are shuffled. Null stays."""
+    told = marked(rows, column, ids)
+    maybe = told.where("_in").drop("_in")
+    named = ids.select(F.col(ids.columns[0]).alias("_id")).hint("shuffle_merge")
+    return told.where("not _in").drop("_in").unionByName(maybe.join(named, F.col(column) == F.col("_id"), "left_anti"))
+
+
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part

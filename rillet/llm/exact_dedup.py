@@ -7,8 +7,8 @@ hash places a text and is compared first, the bytes decide, so that texts of
 one hash that differ stay apart. Each map task sends a text once, however many
 copies it holds. Rows that repeat a doc_id are rows of their own; if they share
 the smallest id of a group, all of them stay. Rows without a doc_id never give
-their group its id; a group of only such rows has a null keep_id and keeps none.
-Empty tables give empty results; other columns pass through ``keep``.
+their group its id; a group of only such rows has a null keep_id; ``keep`` never
+drops a row without one. Empty tables give empty results; other columns pass through ``keep``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import join_groups
+from rillet.llm.common import join_groups, without
 from rillet.scratch import cut, shared_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,9 +38,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
-    kept = classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col(doc_id) == F.col("_keep"), "left_semi")
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    Only rows that may go are shuffled with their texts.
+    """
+    rows = cut(classes(docs, doc_id, text), shared_dir(docs.sparkSession), "classes")
+    gone = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return without(docs, doc_id, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import join_groups
+from rillet.llm.common import join_groups, marked, without
 from rillet.llm.components import stars
 from rillet.llm.textscan import NOT_SPACE, Words, buffers, mix, pieces
 from rillet.scratch import cut, shared_dir
@@ -171,8 +171,11 @@ def propose(members: DataFrame, every: bool) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with link and distance, from the whole texts (doc_id, text)."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    """``pairs`` (a, b) with link and distance, from the whole texts (doc_id, text).
+
+    Pairs grow with the data, so the joins shuffle at any size.
+    """
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("shuffle_merge")
     joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -188,8 +191,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the pairs' documents, and of a few others: told by a bitmap, without a shuffle."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return marked(docs.select("doc_id", "text"), "doc_id", ids).where("_in").drop("_in")
 
 
 def thinned(large: DataFrame, docs: DataFrame, folder: str, limit: int, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
@@ -247,7 +251,7 @@ def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     again = again.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("owner", F.coalesce("root", "rep"))
     second = cut(propose(again, True).select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), folder, "second")
     if not second.isEmpty():
-        more = verified(second, cut(texts_of(docs, second), folder, "texts2")).where("link").select("a", "b")
+        more = verified(second, texts).where("link").select("a", "b")  # whatever is likely now was likely before
         roots = stars(found.unionByName(cut(more, folder, "more")), folder, "all")
     named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "copies", F.coalesce("root", "rep").alias("component_id"))
     named = cut(named, folder, "named")
@@ -258,8 +262,9 @@ def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    kept = classes(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi"))
+    rows = cut(classes(docs), shared_dir(docs.sparkSession), "classes")
+    gone = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return without(docs, "doc_id", gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
