@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid as _uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,14 @@ KINDS = {STRING: "array<string>", BYTES: "array<binary>", INTEGER: "array<bigint
 INT_MIN = -(1 << 31)
 
 
+def arrow_fields() -> list[pa.Field]:
+    """The message's columns in Arrow, for workers, which have no session to parse DDL."""
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.float64(), pa.bool_()]
+    member = pa.struct([("name", pa.string()), ("value_type", pa.int32()), ("representation", pa.string()), *[(c, pa.list_(t)) for c, t in zip(VALUES.values(), kinds)]])
+    headers = [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
+    return [*[pa.field(h, t) for h, t in zip(HEADERS, headers)], pa.field("fields", pa.list_(member))]
+
+
 def field(name: str, value: Column, kind: int, representation: str | None = None) -> Column:
     """A field with one value, or with the values of an array column."""
     members = [F.lit(name).alias("name"), F.lit(kind).alias("value_type"), F.lit(representation).cast("string").alias("representation")]

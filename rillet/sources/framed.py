@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from rillet.schema import HEADERS, MESSAGE_DDL
+from rillet.schema import HEADERS, MESSAGE_DDL, arrow_fields
 from rillet.sources import codec
 
 SCAN_DDL = f"path string, offset bigint, discarded bigint, {MESSAGE_DDL}, raw binary"
@@ -40,15 +40,18 @@ class Range(InputPartition):
     end: int
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def arrow_schema(*around: tuple[str, pa.DataType], after: tuple[tuple[str, pa.DataType], ...] = ()) -> pa.Schema:
+    """The message's columns between others."""
+    return pa.schema([*[pa.field(n, t) for n, t in around], *arrow_fields(), *[pa.field(n, t) for n, t in after]])
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+
+FRAME = (("offset", pa.int64()), ("discarded", pa.int64()))
+RAW = (("raw", pa.binary()),)
 
 
 def scan(part: Range, options: dict) -> Iterator[pa.RecordBatch]:
     most, decoded = int(options.get("max_message", codec.MAX_MESSAGE)), options.get("decode", "true") != "false"
-    schema = arrow_schema(SCAN_DDL)
+    schema = arrow_schema(("path", pa.string()), *FRAME, after=RAW)
     # a frame that begins before the range may reach into it: chains from one frame back tell which bytes are inside frames
     back = max(0, part.begin - most - codec.HEADER_SLACK)
     with open(part.path, "rb") as f:
@@ -190,7 +193,7 @@ def decoded(df: DataFrame, column: str = "pb", strict: bool = False, others: lis
     schema = StructType.fromDDL(f"{MESSAGE_DDL}, error string")
     schema = StructType([*df.select(*others).schema.fields, *schema.fields]) if others else schema
     # the message's own columns follow the kept ones
-    body = arrow_schema(f"{MESSAGE_DDL}, error string")
+    body = arrow_schema(after=(("error", pa.string()),))
 
     def run(batches):
         read = codec.decode_strict if strict else codec.decode
@@ -210,7 +213,7 @@ def decoded(df: DataFrame, column: str = "pb", strict: bool = False, others: lis
 
 def frames_of(df: DataFrame, column: str = "chunk", max_message: int = codec.MAX_MESSAGE) -> DataFrame:
     """The frames of each binary row: offset, discarded bytes before each, and the message."""
-    schema = arrow_schema(SCAN_DDL.removeprefix("path string, "))
+    schema = arrow_schema(*FRAME, after=RAW)
 
     def run(batches):
         for batch in batches:

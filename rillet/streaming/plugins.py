@@ -150,7 +150,7 @@ def analyse(df: DataFrame, plugin: AnalysisPlugin, key: str | None = None, order
         keyed = keyed.withColumn("_old", F.lit(None).cast("string"))
     ordered = keyed.repartition("_key").sortWithinPartitions("_key", order)
     ddl = f"key string, kind string, processed bigint, failures bigint, {MESSAGE_DDL}"
-    schema = arrow_schema(ddl)
+    schema = arrow_schema(("key", pa.string()), ("kind", pa.string()), ("processed", pa.int64()), ("failures", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]):
         now, state, emit, n, bad, out = None, {}, None, 0, 0, []
