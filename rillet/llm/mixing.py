@@ -133,8 +133,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     mix = Mix(docs)
     first = mix.pieces.where(F.expr(f"lo div {mix.block} = block"))
-    rows = first.groupBy("doc_id", "epoch").agg(F.min("shard").alias("_shard")).withColumnRenamed("doc_id", "_id")
-    order = F.xxhash64("_id", "epoch", F.lit(SEED))
+    rows = first.groupBy("doc_id", "epoch").agg(F.min("shard").alias("_shard")).withColumnsRenamed({"doc_id": "_id", "epoch": "_epoch"})
+    order = F.xxhash64("_id", "_epoch", F.lit(SEED))
     joined = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_order", order).repartition("_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
 
