@@ -284,10 +284,6 @@ class Flat(Nested):
     def __init__(self, fields: dict[str, tuple[str, int]]):
         self.fields = fields
 
-    def _value(self, t: Test, kind: int, member: str) -> Column:
-        column, own = self.fields.get(t.name, ("", None))
-        return F.col(column) if own == kind and not t.fi and not t.ai else F.lit(None).cast({STRING: "string", BYTES: "binary", INTEGER: "bigint", DOUBLE: "double", BOOL: "boolean"}[kind])
-
     def _one(self, t: Test, kinds: tuple[int, ...]) -> Column | None:
         column, own = self.fields.get(t.name, ("", None))
         return F.col(column) if own in kinds and not t.fi and not t.ai else None
