@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups that hold over one in so many rows are joined by broadcast; there can't be more than that many.
 HOT = 1000
 
 
+#: Rows and bytes of an Arrow batch; texts are long, and a worker holds several copies of a batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches, where they are Spark's own."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Joins each row to its group (unique by ``keys``, not null).
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillet.llm.common import small_batches
 from rillet.llm.textscan import ALNUM, Words, buffers, pieces
 
 BLOCK, THRESHOLD = 96, 0.8
@@ -61,6 +62,7 @@ def find(h: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     """How often each template token occurs in all texts: one row per task and token, summed."""
+    small_batches(docs.sparkSession)
     tokens = scan_tokens(templates)
 
     def count(batches):

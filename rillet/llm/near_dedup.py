@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import join_groups, marked, without
+from rillet.llm.common import join_groups, marked, small_batches, without
 from rillet.llm.components import stars
 from rillet.llm.textscan import NOT_SPACE, Words, buffers, mix, pieces
 from rillet.scratch import cut, shared_dir
@@ -222,6 +222,7 @@ def thinned(large: DataFrame, docs: DataFrame, folder: str, limit: int, rounds:
 
 def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     rows = cut(features(docs), folder, "features")
     real = rows.where("n > 0 and doc_id is not null")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import held_out
+from rillet.llm.common import held_out, small_batches
 from rillet.llm.textscan import NOT_SPACE, Words, buffers, mix, pieces
 
 #: The most labelled documents on which the trees are fitted.
@@ -138,6 +138,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, rows: int = ROWS) -> Trees:
     """Learns from the labels whose doc_id isn't held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id", parts, part))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("_y")).withColumn("_o", F.xxhash64("doc_id"))
     sample = known.orderBy("_o", "doc_id").limit(rows)  # the bound of what is broadcast

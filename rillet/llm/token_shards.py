@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from rillet.llm.common import small_batches
 from rillet.llm.textscan import buffers
 from rillet.scratch import cut, shared_dir
 
@@ -159,6 +160,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, shard_bytes: int
     A shard's name is new with each attempt at its task and only those of
     finished tasks reach the manifest, so lost executors leave no wrong data.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     dictionary = train(docs, path, end_id)
     digest = hashlib.sha256(dictionary).digest()

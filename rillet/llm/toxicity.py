@@ -12,7 +12,7 @@ smallest hash of doc_id; scores hold for the classes' shares in that sample. Sco
 texts; null and empty texts score the intercept. Labels that are null or
 without a document teach nothing; for several labels of one document the
 highest counts; with no labels at all every score is 0.5. Repeated rows and ids
-are scored one by one. Columns of other names pass through ``scored``.
+are scored one by one. Columns pass through ``scored``, but one of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import held_out
+from rillet.llm.common import held_out, small_batches
 from rillet.llm.textscan import ALNUM, Words, buffers, mix, pieces
 
 BITS = 20
@@ -95,6 +95,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows: int = ROWS) -> Model:
     """Learns from the labels whose doc_id isn't held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", parts, part))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_y")).withColumn("_o", F.xxhash64("doc_id"))
     first = [known.where(F.col("_y") == y).orderBy("_o", "doc_id").limit(rows) for y in (0, 1)]
@@ -124,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` (with a column text) and a column with each text's score."""
+    docs = docs.drop(name)
 
     def score(batches):
         dense = model.dense()

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import HOT
+from rillet.llm.common import HOT, small_batches
 from rillet.scratch import cut, shared_dir
 
 LEAST = 1000
@@ -92,6 +92,7 @@ def write(pages: DataFrame, folder: str, compress: bool = True) -> DataFrame:
     Every attempt at a task has a file of its own; the list has only those of
     finished tasks.
     """
+    small_batches(pages.sparkSession)
 
     def archive(batches):
         out, size, n = None, 0, 0
