@@ -18,6 +18,7 @@ size are interchangeable. An empty table gives an empty mix. Draws depend on
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ SHARE, CAP, SEED = 1.5, 2, 20
 BLOCK_WORDS, SHARD_BLOCKS = 4096, 512
 #: numpy's hypergeometric draws need fewer blocks than this in all; blocks grow to hold more.
 MOST_BLOCKS = 500_000_000
+#: Nor are there more shards than this; beyond, each gets more blocks.
+MOST_SHARDS = 200_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -85,18 +88,21 @@ def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 def assigned(sources: DataFrame, block_words: int | None = None, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, int]:
     """skey, block, shard of every block of every source, and the words of a block.
 
-    The driver holds a row per source and, for each shard, a number per source.
+    The driver holds a row per source and, for each of at most ``MOST_SHARDS``
+    shards, a number per source.
     """
     spark = sources.sparkSession
     got = sources.select("skey", "words").orderBy("skey").collect()
     words = np.array([r.words for r in got], np.int64)
     block = block_words or max(BLOCK_WORDS, int(-(-words.sum() // MOST_BLOCKS)))
     quotas = -(-words // block)
-    shards = max(1, -(-int(quotas.sum()) // shard_blocks))
+    shards = min(max(1, -(-int(quotas.sum()) // shard_blocks)), MOST_SHARDS)
     plan = split(quotas, shards) if len(quotas) else np.zeros((1, 0), np.int64)
     ends = np.cumsum(plan, 0)
-    rows = [(got[s].skey, shard, int(ends[shard, s] - plan[shard, s]), int(ends[shard, s])) for shard, s in zip(*np.nonzero(plan))]
-    table = spark.createDataFrame([(a, int(b), c, d) for a, b, c, d in rows], "skey string, shard int, lo long, hi long")
+    shard, s = np.nonzero(plan)
+    names = pa.array([r.skey for r in got], pa.string()).take(pa.array(s))
+    columns = [names, pa.array(shard.astype(np.int32)), pa.array(ends[shard, s] - plan[shard, s]), pa.array(ends[shard, s])]
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, ["skey", "shard", "lo", "hi"]))
     return table.select("skey", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("block")), block
 
 
