@@ -42,7 +42,7 @@ def text_of(m: dict) -> str:
     seconds, ns = divmod(m["timestamp"], 10**9)
     at = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
     nil = lambda v: "<nil>" if v is None else v
-    lines = [f":Uuid: {u[:8]}-{u[8:12]}-{u[12:16]}-{u[16:20]}-{u[20:]}", f":Timestamp: {at:%Y-%m-%dT%H:%M:%S}.{ns:09d}Z"]
+    lines = [f":Uuid: {u[:8]}-{u[8:12]}-{u[12:16]}-{u[16:20]}-{u[20:]}", f":Timestamp: {at.isoformat(timespec='seconds')}.{ns:09d}Z"]
     lines += [f":{name}: {nil(m[key])}" for name, key in (("Type", "type"), ("Logger", "logger"), ("Severity", "severity"), ("Payload", "payload"), ("EnvVersion", "env_version"), ("Pid", "pid"), ("Hostname", "hostname"))]
     lines.append(":Fields:")
     for f in m["fields"] or []:

@@ -311,9 +311,9 @@ def _seconds():
 
 
 
-@query("date_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(o_orderdate, 'day %j of %y, %b') AS words FROM orders")
+@query("date_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d at %H.%M.%S') AS iso, strftime(o_orderdate, 'day %j of %y, %b') AS words FROM orders")
 def date_format(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fn.date("!%Y-%m-%dT%H:%M:%S", _seconds()).alias("iso"), fn.date("day %j of %y, %b", _seconds()).alias("words"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fn.date("!%Y/%m/%d at %H.%M.%S", _seconds()).alias("iso"), fn.date("day %j of %y, %b", _seconds()).alias("words"))
 
 
 @query("date_table", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS wday, CAST(dayofyear(o_orderdate) AS INTEGER) AS yday FROM orders")

@@ -156,7 +156,8 @@ def decode(data: bytes) -> dict:
     try:
         out, seen = _decode(data)
     except _Bad as e:
-        raise DecodeError("tag:%d wiretype:%d position:%d" % e.args) from None
+        tag, wire, at = e.args
+        raise DecodeError(f"tag:{tag} wiretype:{wire} position:{at}") from None
     for tag, name in ((1, "Uuid"), (2, "Timestamp")):
         if tag not in seen:
             raise DecodeError(f"missing {name}")
@@ -170,7 +171,8 @@ def decode_strict(data: bytes) -> dict:
     try:
         out, seen = _decode(data)
     except _Bad as e:
-        raise DecodeError("error in tag: %d wiretype: %d offset: %d" % e.args) from None
+        tag, wire, at = e.args
+        raise DecodeError(f"error in tag: {tag} wiretype: {wire} offset: {at}") from None
     if not {1, 2} <= seen:
         found = ["found" if t in seen else "not found" for t in (1, 2)]
         raise DecodeError(f"missing required field uuid: {found[0]} timestamp: {found[1]}")

@@ -70,9 +70,10 @@ def test_uuid():
 def test_incremental_scan():
     r = codec.StreamReader(100)
     body = U + T
+    h = bytes.fromhex
     steps = [
-        (b"\x1e\x02\x08\x14\x1f" + body, True, 0), (b"\x1e", False, 0), (b"\x02\x08", False, 0), (b"\x14\x1f" + U, False, 0), (T + b"\x1e\x02\x08\x14\x1f", True, 0), (body, True, 0),
-        (body, False, 20), (b"\x1e\x02\x08\x15\x1f" + body + b"\0", False, 26), (b"\x1e\x02\x08\x00\x1f", False, 5), (b"\x1e\x02\x08\x14\x01\x1f", False, 6), (b"\x1e\x02\x09\x14\x1f", False, 5), (b"\x1e\x02\x08\x65\x1f", False, 5),
+        (h("1e0208141f") + body, True, 0), (h("1e"), False, 0), (h("0208"), False, 0), (h("141f") + U, False, 0), (T + h("1e0208141f"), True, 0), (body, True, 0),
+        (body, False, 20), (h("1e0208151f") + body + h("00"), False, 26), (h("1e0208001f"), False, 5), (h("1e020814011f"), False, 6), (h("1e0209141f"), False, 5), (h("1e0208651f"), False, 5),
     ]
     for chunk, found, discarded in steps:
         r.feed(chunk)

@@ -20,7 +20,7 @@ FULL = message(
         {"name": "string", "value": "43"},
         {"name": "nan", "value": float("nan")},
     ],
-    uuid=bytes.fromhex("230081dc326f4e3f9a5a9386a37e246f"), timestamp=1428773426113040228, type="TEST", logger="GoSpec", severity=6,
+    uuid=bytes.fromhex("230081dc326f4e3f9a5a9386a37e246f"), timestamp=1428773426113040228, type="TEST", logger="prober-3", severity=6,
     payload="A payload with a longer text and a unique-item", env_version="0.8", pid=32157, hostname="box-1",
 )
 BARE = message(uuid=bytes(range(16)))
@@ -31,8 +31,8 @@ Timestamp > '2015-04-11T10:30:26-07:00' | EnvVersion > '0.7' | EnvVersion <= '0.
 Fields[foo] == 'bar' | Fields[foo][1] == 'alternate' | Fields[foo][1][0] =~ '^alt' | Fields[foo] < 'barx' | Fields[foo] != 'bara' | Fields[bytes] == 'data'
 Fields[int] == 999 | Fields[int][0][1] == 1024 | Fields[int][0][2] == NIL | Fields[int] != NIL | Fields[missing] == NIL | Fields[double] == 99.9
 Fields[bool] == TRUE | Fields[bool] != FALSE | Fields[zero] == FALSE | Fields[foo][255] == NIL | Fields[Payload] =~ 'name=%w+' | Fields[when] =~ ' -0700'%
-Type =~ 'ST$' | Type !~ '^te' | Type =~ '^TE' | Payload =~ 'unique%-item' | Payload =~ 'unique-item'% | Fields[nan] != 3 | Logger == 'GoSpec' || FALSE && FALSE
-(Severity == 7 || Logger == 'GoSpec') && Type == 'TEST' | Type == 'x' && Severity == 6 || Logger == 'GoSpec'
+Type =~ 'ST$' | Type !~ '^te' | Type =~ '^TE' | Payload =~ 'unique%-item' | Payload =~ 'unique-item'% | Fields[nan] != 3 | Logger == 'prober-3' || FALSE && FALSE
+(Pid == 1 || Logger =~ '^prober') && Type >= 'TEST' | Type == 'x' && Severity == 6 || Logger == 'prober-3'
 """
 FAILS = """
 FALSE | Timestamp == 1e9 | Timestamp > '2015-04-11T17:30:27Z' | Severity > 6 | Severity != 6 | Type =~ 'Test' | Type !~ 'TEST' | EnvVersion != '0.8'
