@@ -41,7 +41,7 @@ HEADER_SIZE, TRAILER_SIZE = struct.calcsize(HEADER), struct.calcsize(TRAILER)
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u8")])
 #: The most documents, and the most bytes of each one's ids, that train the dictionary.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 17, 1 << 16
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 
 WORDS = 300_000
 PARTS = 400_000
@@ -74,41 +74,54 @@ class WordCoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def parts_of(self, raw: bytes) -> list[str] | None:
+        """The word's parts, or None if the library must have it whole."""
+        word = raw.decode()
+        if raw.isalpha():
+            return [word.lower()]
+        if "<|" in word or not self.plain.fullmatch(word) or not (raw.isascii() or unicodedata.is_normalized("NFC", word)):
+            return None
+        lower = word.lower()
+        return [lower] if lower.isalpha() else self.part.findall(lower)
+
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        out, divided, unknown = {}, {}, {}
+        known, out, divided, unknown = self.parts, {}, [], {}
         for raw in new:
-            word = raw.decode()
-            if "<|" in word or not self.plain.fullmatch(word) or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
-                out[raw] = self.whole(word)
-            else:
-                divided[raw] = parts = self.part.findall(word.lower())
-                unknown.update((p, None) for p in parts if p not in self.parts)
+            parts = self.parts_of(raw)
+            if parts is None:
+                out[raw] = self.whole(raw.decode())
+                continue
+            divided.append((raw, parts))
+            for p in parts:
+                if p not in known:
+                    unknown[p] = None
         if unknown:
-            ids = self.tok.encode(" ".join(unknown), add_special_tokens=False).ids
+            ids = np.asarray(self.tok.encode(" ".join(unknown), add_special_tokens=False).ids)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(unknown):
-                found = dict(zip(unknown, map(self.pack, np.split(np.asarray(ids), ends[:-1]))))
+                body, ends = self.pack(ids), (ends * self.type.itemsize).tolist()
+                unknown = {p: body[a:b] for p, a, b in zip(unknown, [0, *ends], ends)}
             else:
-                found = {p: self.whole(p) for p in unknown}
-        else:
-            found = {}
-        if len(self.parts) < PARTS:
-            self.parts.update(found)
-        known = self.parts
-        for raw, parts in divided.items():
-            out[raw] = b"".join([known[p] if p in known else found[p] for p in parts])
+                unknown = {p: self.whole(p) for p in unknown}
+            if len(known) < PARTS:
+                known.update(unknown)
+        for raw, parts in divided:
+            out[raw] = b"".join([known[p] if p in known else unknown[p] for p in parts])
         if len(self.words) < WORDS:
             self.words.update(out)
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        known = self.words
-        new = list({w for ws in split for w in ws if w not in known})
-        more = self.learn(new) if new else {}
-        if more and len(known) >= WORDS:
-            return [b"".join([known[w] if w in known else more[w] for w in ws]) for ws in split]
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        found = [list(map(self.words.get, words)) for words in split]
+        new: set[bytes] = set()
+        for words, got in zip(split, found):
+            if None in got:
+                new.update([w for w, x in zip(words, got) if x is None])
+        if new:
+            more = self.learn(list(new))
+            found = [[more[w] if x is None else x for w, x in zip(words, got)] if None in got else got for words, got in zip(split, found)]
+        return [b"".join(got) for got in found]
 
 
 _coders: dict[str, WordCoder] = {}
