@@ -17,6 +17,7 @@ are scored one by one. Columns pass through ``scored``, but one of the score's n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,13 +115,18 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
                 cut = np.searchsorted(key, np.arange(j - i + 1) << BITS)
                 flat = (key & ((1 << BITS) - 1)).astype(np.int32)
                 out += [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), pa.array(out, pa.binary())], ["doc_id", "y", "o", "places"])
+            tie = pa.array(list(map(zlib.crc32, out)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), tie, pa.array(out, pa.binary())], ["doc_id", "y", "o", "tie", "places"])
 
-    got = chosen.mapInArrow(features, "doc_id long, y int, o long, places binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["o"], r["doc_id"], r["places"]))
-    if not got:
+    got = chosen.mapInArrow(features, "doc_id long, y int, o long, tie long, places binary").toArrow()
+    if not got.num_rows:
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
-    return ftrl([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["y"] for r in got]))
+    order = np.lexsort([got.column(c).to_numpy() for c in ("tie", "doc_id", "o")])
+    y = got.column("y").to_numpy()[order]
+    body, at = buffers(got.column("places").cast(pa.large_binary()))  # the one copy that the driver keeps
+    del got
+    flat, at = body.view(np.int32), at // 4
+    return ftrl([flat[at[k] : at[k + 1]] for k in order], y)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
