@@ -83,7 +83,7 @@ def test_compatibility():
     assert shape(parse(expression)) == "((TRUE&&(FALSE||Severity))||Pid)"
     assert shape(parse(expression, compat=True)) == "(TRUE&&((FALSE||Severity)||Pid))"
     assert shape(parse("(TRUE || (FALSE && Pid == 1) || Pid == 2) && Type == 'a'", compat=True)) == "(TRUE||(((FALSE&&Pid)||Pid)&&Type))"
-    plain = "FALSE || TRUE && Pid == 1 || Severity == 1"
+    plain = "TRUE && Pid == 1 || Severity == 1"
     assert parse(plain) == parse(plain, compat=True)
     with pytest.raises(MatcherSyntaxError):
         parse("Fields[a][206] == 1", compat=True)
@@ -94,6 +94,7 @@ def test_compatibility():
 
 
 def test_pushdown(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     df = spark.range(10).selectExpr("'a' as type", "cast(id as int) as severity", "id * 1000000000000000000 div 3 as timestamp", "cast(null as string) as logger", "id as f_n", "cast(id as double) as f_d")
     df.write.parquet(str(tmp_path / "t"))
     flat = Flat({"n": ("f_n", 2), "d": ("f_d", 3)})
