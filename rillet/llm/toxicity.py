@@ -8,7 +8,8 @@ for its inflected forms. Learning keeps a rate for every coordinate and an L1 pe
 leaves few weights; only those travel to the executors.
 
 The fit uses at most ``ROWS`` labelled documents of each class, those with the
-smallest hash of doc_id; scores hold for the classes' shares in that sample. Scores are computed for all rows and whole
+smallest hash of doc_id. Where the bound changes the classes' shares, the
+intercept gives it back, so scores hold for the shares of all labels. Scores are computed for all rows and whole
 texts; null and empty texts score the intercept. Labels that are null or
 without a document teach nothing; for several labels of one document the
 highest counts; with no labels at all every score is 0.5. Repeated rows and ids
@@ -94,11 +95,20 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(places, every[places].astype(np.float32), float(every[-1]))
 
 
+def correction(totals: dict[int, int], rows: int) -> float:
+    """The log-odds of the classes' shares in all labels less those in the sample of at most ``rows`` each."""
+    if not (totals.get(0) and totals.get(1)):
+        return 0.0
+    kept = [min(totals[y], rows) / totals[y] for y in (0, 1)]
+    return float(np.log(kept[0] / kept[1]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows: int = ROWS) -> Model:
     """Learns from the labels whose doc_id isn't held out."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", parts, part))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_y")).withColumn("_o", F.xxhash64("doc_id"))
+    totals = {r["_y"]: r["count"] for r in known.where(F.col("_y").isin(0, 1)).groupBy("_y").count().collect()}
     first = [known.where(F.col("_y") == y).orderBy("_o", "doc_id").limit(rows) for y in (0, 1)]
     sample = first[0].unionByName(first[1])  # at most 2 * rows small rows
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y", "_o")
@@ -126,7 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
     body, at = buffers(got.column("places").cast(pa.large_binary()))  # the one copy that the driver keeps
     del got
     flat, at = body.view(np.int32), at // 4
-    return ftrl([flat[at[k] : at[k + 1]] for k in order], y)
+    model = ftrl([flat[at[k] : at[k + 1]] for k in order], y)
+    model.bias += correction(totals, rows)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
