@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,5 +65,25 @@ def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return told.where("not _in").drop("_in").unionByName(maybe.join(named, F.col(column) == F.col("_id"), "left_anti"))
 
 
+class Smallest:
+    """Of a task's rows, those of a smaller order than any row of their id before: few, wherever an id repeats."""
+
+    def __init__(self):
+        self.least: dict[int, int] = {}
+
+    def of(self, batch: pa.RecordBatch, key: str, order: str) -> pa.RecordBatch:
+        keep = []
+        for k, (i, o) in enumerate(zip(batch.column(key).to_pylist(), batch.column(order).to_pylist())):
+            if i not in self.least or o < self.least[i]:
+                self.least[i] = o
+                keep.append(k)
+        return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
+def one_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each ``key`` that has the smallest ``order``."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part

@@ -10,7 +10,7 @@ The fit uses at most ``ROWS`` labelled documents, those with the smallest hash
 of doc_id; scores are computed for all rows and whole texts. Null and empty
 texts have all statistics 0 and score like any row. Labels that are null or
 without a document teach nothing; for several labels of a document the lowest
-counts; with no labels every score is 0.5. Repeated rows and ids are scored one
+counts, and of several texts the one with the smallest hash teaches; with no labels every score is 0.5. Repeated rows and ids are scored one
 by one.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import held_out, small_batches
+from rillet.llm.common import Smallest, held_out, one_each, small_batches
 from rillet.llm.textscan import NOT_SPACE, Words, buffers, mix, pieces
 
 #: The most labelled documents on which the trees are fitted.
@@ -142,14 +142,17 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, rows:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id", parts, part))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("_y")).withColumn("_o", F.xxhash64("doc_id"))
     sample = known.orderBy("_o", "doc_id").limit(rows)  # the bound of what is broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y", "_o")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y", "_o", F.xxhash64("text").alias("_h"))
 
     def features(batches):
+        smallest = Smallest()
         for batch in batches:
+            batch = smallest.of(batch, "doc_id", "_h")
             x = of_column(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "o", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), batch.column(4), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "o", "h", "x"])
 
-    got = chosen.mapInArrow(features, "doc_id long, y int, o long, x binary").toArrow().to_pylist()
+    found = chosen.mapInArrow(features, "doc_id long, y int, o long, h long, x binary")
+    got = one_each(found, "doc_id", "h").toArrow().to_pylist()  # at most ``rows``
     got.sort(key=lambda r: (r["o"], r["doc_id"], r["x"]))
     empty = np.zeros((0, 1))
     if not got:

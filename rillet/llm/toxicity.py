@@ -12,8 +12,8 @@ smallest hash of doc_id. Where the bound changes the classes' shares, the
 intercept gives it back, so scores hold for the shares of all labels. Scores are computed for all rows and whole
 texts; null and empty texts score the intercept. Labels that are null or
 without a document teach nothing; for several labels of one document the
-highest counts; with no labels at all every score is 0.5. Repeated rows and ids
-are scored one by one. Columns pass through ``scored``, but one of the score's name is replaced.
+highest counts, and of several texts the one with the smallest hash teaches;
+with no labels at all every score is 0.5. Repeated rows and ids are scored one by one. Columns pass through ``scored``, but one of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import held_out, small_batches
+from rillet.llm.common import Smallest, held_out, one_each, small_batches
 from rillet.llm.textscan import ALNUM, Words, buffers, mix, pieces
 
 BITS = 20
@@ -111,10 +111,12 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
     totals = {r["_y"]: r["count"] for r in known.where(F.col("_y").isin(0, 1)).groupBy("_y").count().collect()}
     first = [known.where(F.col("_y") == y).orderBy("_o", "doc_id").limit(rows) for y in (0, 1)]
     sample = first[0].unionByName(first[1])  # at most 2 * rows small rows
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y", "_o")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y", "_o", F.xxhash64("text").alias("_h"))
 
     def features(batches):
+        smallest = Smallest()
         for batch in batches:
+            batch = smallest.of(batch, "doc_id", "_h")
             data, offsets = buffers(batch.column(1))
             out = []
             for i, j, body, at in pieces(data, offsets):
@@ -126,9 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
                 flat = (key & ((1 << BITS) - 1)).astype(np.int32)
                 out += [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
             tie = pa.array(list(map(zlib.crc32, out)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), tie, pa.array(out, pa.binary())], ["doc_id", "y", "o", "tie", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), batch.column(4), tie, pa.array(out, pa.binary())], ["doc_id", "y", "o", "h", "tie", "places"])
 
-    got = chosen.mapInArrow(features, "doc_id long, y int, o long, tie long, places binary").toArrow()
+    found = chosen.mapInArrow(features, "doc_id long, y int, o long, h long, tie long, places binary")
+    got = one_each(found, "doc_id", "h").toArrow()  # at most 2 * rows, of at most 4 << BITS bytes
     if not got.num_rows:
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
     order = np.lexsort([got.column(c).to_numpy() for c in ("tie", "doc_id", "o")])

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from rillet.llm import toxicity
+from rillet.llm import quality, toxicity
 
 
 # 9
@@ -17,3 +17,19 @@ def test_toxicity_share(spark):
         assert abs(np.mean(scores) - 0.1) < 0.05, rows
     assert toxicity.correction({0: 9000, 1: 1000}, 10_000) == 0.0 == toxicity.correction({0: 9000}, 10)
     assert np.isclose(toxicity.correction({0: 9000, 1: 1000}, 500), np.log(1 / 9))
+
+
+# 8, 9
+def test_repeated_documents_teach_once(spark, monkeypatch):
+    """A doc_id that holds most rows brings one row to the driver, the same in any order of rows."""
+    rows = [(i, f"plain words number {i}") for i in range(60)] + [(0, f"another text {k % 50}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    taught = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda rows, y: taught.append([len(rows), sorted(r.tobytes() for r in rows)]) or toxicity.Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0))
+    monkeypatch.setattr(quality, "boost", lambda x, y: taught.append([len(x), sorted(r.tobytes() for r in x)]))
+    for module in (toxicity, quality):
+        module.fit(df, labels), module.fit(df.repartition(7), labels)
+        first, again = taught[-2:]
+        assert first[0] == labels.where(~module.held_out("doc_id", *((3, 1) if module is toxicity else (4, 2)))).count()
+        assert first == again
