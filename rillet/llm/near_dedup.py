@@ -9,7 +9,7 @@ Each set is hashed once into 128 buckets. A register keeps, of the least hash in
 its bucket, the number of leading zeros (6 bits) and the next 10 bits; empty
 buckets borrow from others in a fixed random order. 32 bands of 4 registers are
 keys: two sets of Jaccard 0.8 share none with probability (1 - 0.8**4)**32, or
-5e-8. In each band bucket the matching registers, corrected for accidental
+5e-8; ``least_estimate`` bounds what is verified, which misses more (README). In each band bucket the matching registers, corrected for accidental
 collisions, estimate all Jaccards. The bucket proposes a maximum spanning forest
 of the pairs that may reach the threshold; proposals are verified on the full
 sets of the whole texts. Where a proposed pair fails, the bucket then proposes
@@ -42,8 +42,8 @@ from rillet.llm.textscan import NOT_SPACE, Words, buffers, mix, pieces
 from rillet.scratch import cut, shared_dir
 
 BUCKETS, BANDS, MANTISSA = 128, 32, 10
-#: A link: 100 * intersection >= 80 * union. Pairs whose estimate is five deviations lower aren't verified.
-PERCENT, LEAST_ESTIMATE, SMALL = 80, 0.62, 32
+#: A link: 100 * intersection >= 80 * union. Pairs of a lower estimate than ``least_estimate`` aren't verified, but for small sets.
+PERCENT, LEAST_ESTIMATE, SMALL = 80, 0.58, 32
 LIMIT = 1024
 PROBES = np.array([np.random.default_rng(b).permutation(BUCKETS) for b in range(BUCKETS)])
 STARTS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
@@ -111,6 +111,18 @@ def accidental(n: np.ndarray) -> np.ndarray:
     return p @ p.T / (1 << MANTISSA)
 
 
+def least_estimate(n: np.ndarray) -> np.ndarray:
+    """The estimate below which sets of which the larger has ``n`` members aren't verified.
+
+    It is ``LEAST_ESTIMATE``, or five deviations below the threshold where that is lower. Of 128 registers, so many as
+    there are full buckets differ; the others repeat one of them at random, which adds to the deviation of small sets.
+    """
+    full = BUCKETS * (1 - (1 - 1 / BUCKETS) ** np.maximum(n, 1))
+    squares = ((BUCKETS - full) * (1 - 1 / full) + BUCKETS**2 / full) / BUCKETS**2  # of the registers' weights
+    link = PERCENT / 100
+    return np.minimum(LEAST_ESTIMATE, link - 5 * np.sqrt(link * (1 - link) * squares))
+
+
 def likely(regs: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How many registers match, for pairs that may be links and aren't connected yet; else 0."""
     m = len(n)
@@ -119,7 +131,7 @@ def likely(regs: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
         count[i : i + 64] = (regs[i : i + 64, None, :] == regs[None, :, :]).sum(2)
     by_chance = accidental(n)
     estimate = (count / BUCKETS - by_chance) / (1 - by_chance)
-    ok = (estimate >= LEAST_ESTIMATE) | (np.minimum(n[:, None], n) <= SMALL)
+    ok = (estimate >= least_estimate(np.maximum(n[:, None], n))) | (np.minimum(n[:, None], n) <= SMALL)
     ok &= 100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n)
     ok &= owner[:, None] != owner
     return np.where(ok, np.maximum(count, 1), 0)

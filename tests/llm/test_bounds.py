@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from rillet.llm import quality, toxicity
+from rillet.llm import near_dedup, quality, toxicity
 
 
 # 9
@@ -33,3 +33,21 @@ def test_repeated_documents_teach_once(spark, monkeypatch):
         first, again = taught[-2:]
         assert first[0] == labels.where(~module.held_out("doc_id", *((3, 1) if module is toxicity else (4, 2)))).count()
         assert first == again
+
+
+# 6
+def test_estimates_of_small_sets():
+    """Pairs right at the threshold are likely, though registers of small sets are few and borrowed."""
+    rng = np.random.default_rng(1)
+    n = np.array([36, 45])
+    for seed in range(4000):
+        a = rng.integers(0, 1 << 64, 45, np.uint64)
+        regs = np.array([near_dedup.registers(np.sort(a[:36])), near_dedup.registers(np.sort(a))])
+        assert near_dedup.likely(regs, n, np.arange(2))[0, 1], seed
+    # 79 of 128 registers match: an estimate of 0.617, which pairs at 0.8 do have
+    regs = np.arange(256, dtype=np.uint16).reshape(2, 128)
+    regs[1, :79] = regs[0, :79]
+    for size in (33, 36, 45, 90, 500):
+        assert near_dedup.likely(regs, np.array([size, size]), np.arange(2))[0, 1], size
+    regs[1, 60:79] += 128
+    assert not near_dedup.likely(regs, np.array([500, 500]), np.arange(2))[0, 1]
