@@ -20,8 +20,9 @@ that. In a cell its annuli are expanded from the nearest, until the bound of all
 that are left exceeds the k-th distance. Bounds have slack for rounding and ties
 go to the smaller vec_id, so results are exact.
 
-Vectors that are null, or hold null or non-finite components, take no part. Nor
-do those of a dimension other than the most frequent. Empty vectors score 0. A
+Vectors that are null, or hold null or non-finite components, take no part. An
+index holds vectors of one dimension; ``nearest`` builds one for each dimension
+and answers queries from that of theirs, one dimension after another. Empty vectors score 0. A
 query's own vec_id is no candidate. Rows that repeat a vec_id are candidates of
 their own; a query id that repeats counts once, by its smallest vector.
 """
@@ -244,10 +245,28 @@ class Index:
         return ranked(home.unionByName(self.visit(bounded, k, False))).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """query_id, rank, vec_id, score for ``queries`` (query_id, v) among the vectors of the same dimension.
+
+    A query id that repeats in several dimensions counts once, by its smallest vector of all.
+    """
+    folder = shared_dir(vectors.sparkSession)
+    dims = [r[0] for r in vectors.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").collect()]
+    if len(dims) < 2:
+        return Index(vectors, folder).top(queries, k)
+    queries = cut(queries.groupBy("query_id").agg(F.min("v").alias("v")), folder, "asked")
+    found = None
+    for d in dims:
+        under = f"{folder}/dim{d}"
+        got = Index(vectors.where(F.size("v") == d), under).top(queries.where(F.size("v") == d), k)
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     vectors = cut(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), folder, "vectors")
-    return Index(vectors, folder).top(vectors.where(f"vec_id % {EVERY} = 0").withColumnRenamed("vec_id", "query_id"))
+    return nearest(vectors, vectors.where(f"vec_id % {EVERY} = 0").withColumnRenamed("vec_id", "query_id"))
 
 
 SQL = """

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from rillet.llm import near_dedup, quality, toxicity
+from rillet.llm import near_dedup, quality, topk, toxicity
 
 
 # 9
@@ -51,3 +51,16 @@ def test_estimates_of_small_sets():
         assert near_dedup.likely(regs, np.array([size, size]), np.arange(2))[0, 1], size
     regs[1, 60:79] += 128
     assert not near_dedup.likely(regs, np.array([500, 500]), np.arange(2))[0, 1]
+
+
+# 2
+def test_vectors_of_every_dimension(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows}
+    want = []
+    for q in range(0, 120, topk.EVERY):
+        scored = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored[: topk.TOP], 1)]
+    assert sorted(map(tuple, topk.query(spark, str(tmp_path)).collect())) == want
