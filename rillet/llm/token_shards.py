@@ -8,8 +8,8 @@ beside the shards, in a file named by its hash.
 
 Shards follow one another in ascending doc_id order (null first, equal ids in
 any order), and so do documents within them. A null or empty text has only the
-end id. ``SAMPLE`` bounds the documents on which the dictionary is fitted; all
-documents are written. Empty tables give a dictionary-less, shard-less archive.
+end id. ``SAMPLE`` bounds the documents on which the dictionary is fitted, the first by
+hash, none of over ``SAMPLE_BYTES`` of ids; all documents are written. Empty tables give a dictionary-less, shard-less archive.
 """
 
 from __future__ import annotations
@@ -150,7 +150,8 @@ def train(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from the ids of at most about ``SAMPLE`` documents, chosen by hash of doc_id."""
     total = docs.count()
     share = min(1.0, SAMPLE / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))).limit(2 * SAMPLE)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    chosen = docs.where(place < F.lit(round(share * (1 << 30)))).orderBy(place, "doc_id", F.xxhash64("text"), "text").limit(2 * SAMPLE)
 
     def ids(batches):
         for _, rows in encoded(batches, path, end_id):

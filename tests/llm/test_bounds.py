@@ -1,8 +1,9 @@
 """What bounds of samples and sizes must not change."""
 
 import numpy as np
+import public_tokenizers
 
-from rillet.llm import near_dedup, quality, topk, toxicity
+from rillet.llm import near_dedup, quality, token_shards, topk, toxicity
 
 
 # 9
@@ -64,3 +65,16 @@ def test_vectors_of_every_dimension(spark, tmp_path):
         scored = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
         want += [(q, n, i, -s) for n, (s, i) in enumerate(scored[: topk.TOP], 1)]
     assert sorted(map(tuple, topk.query(spark, str(tmp_path)).collect())) == want
+
+
+# 10
+def test_dictionary_is_the_same_in_any_order(spark, monkeypatch):
+    """Where more documents are chosen than the sample holds, which ones train doesn't depend on the order of rows."""
+    monkeypatch.setattr(token_shards, "SAMPLE", 100)
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, 6, np.uint8)).decode() for _ in range(300)]
+    rows = [(5, " ".join(rng.choice(words, 60))) for _ in range(1500)]  # one id, so all or none are chosen
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_shards, "round", lambda x: 1 << 30, raising=False)
+    made = [token_shards.train(spark.createDataFrame(r, "doc_id long, text string"), path, 0) for r in (rows, rows[::-1])]
+    assert made[0] == made[1] != b""
