@@ -2,29 +2,40 @@
 
 A document's set holds its distinct pairs of neighbouring words (white space
 divides, A-Z lower-cased); one word alone is a set of one. Sets are kept as
-64-bit hashes of their members. Documents of equal sets form a class, which its
-smallest doc_id represents.
+64-bit hashes of their members, which take long words by a cryptographic
+function, so that no known texts collide. Documents of equal sets (128 bits
+more, and the size) form a class, which its smallest doc_id represents.
 
 Each set is hashed once into 128 buckets. A register keeps, of the least hash in
 its bucket, the number of leading zeros (6 bits) and the next 10 bits; empty
 buckets borrow from others in a fixed random order. 32 bands of 4 registers are
 keys: two sets of Jaccard 0.8 share none with probability (1 - 0.8**4)**32, or
-5e-8; ``least_estimate`` bounds what is verified, which misses more (README). In each band bucket the matching registers, corrected for accidental
-collisions, estimate all Jaccards. The bucket proposes a maximum spanning forest
-of the pairs that may reach the threshold; proposals are verified on the full
-sets of the whole texts. Where a proposed pair fails, the bucket then proposes
-every pair that verified links don't connect yet. So no link between components
-is lost, and a group of n near copies costs n verifications, not n * n.
-
-Buckets of over ``LIMIT`` classes are first verified against their smallest
-class: by the triangle inequality of Jaccard distance only classes that miss it,
-and those linked to it at nearly the same distance as a miss, can have other
-links that matter. What is left of a large bucket is compared block by block.
-No bucket is capped and no task holds more than ``LIMIT`` classes of one.
-
-Null, empty and blank texts have empty sets, are linked with nothing and stay.
-Rows that share a doc_id count as one document with the links of all of them.
-Rows without a doc_id are linked with nothing and stay. Texts have no bound.
+5e-8; ``least_estimate`` bounds what is verified, which misses more (README). In
+each band bucket the matching registers, corrected for accidental collisions,
+estimate all Jaccards. The bucket proposes a maximum spanning forest of the
+pairs that may reach the threshold, one pair less than it has members;
+proposals are verified on the full sets of the whole texts.
+
+Buckets where a proposal failed, so that members lie in different components,
+aren't searched pair by pair: their members meet in an exact set-similarity
+join (``prefix_pairs``). Each set's tokens are ordered by their frequency, the
+rarest first; a pair that reaches the threshold shares one of the first ninth of
+the smaller set's tokens and the first fifth of the larger one's. Sets that
+share frequent boilerplate and differ in the rest share none of those, however
+many there are. Pairs that do are verified on the texts.
+
+Buckets of over ``limit`` classes are divided into blocks, all of which hold the
+same few delegates; where those don't connect all blocks, the bucket goes to
+the exact join as well. No bucket is capped, no task holds more than ``limit``
+classes of one and some delegates, and a group of n near copies costs about n
+verifications.
+
+Sets of at most three members are linked with equal ones alone, so only classes
+serve them. Null, empty and blank texts have empty sets, are linked with nothing
+and stay. Rows that share a doc_id count as one document with the links of all
+of them. Rows without a doc_id are linked with nothing and stay. Texts have no
+bound. Empty tables give empty results. Other columns are not read; they pass
+through ``keep``.
 """
 
 from __future__ import annotations
@@ -45,6 +56,12 @@ BUCKETS, BANDS, MANTISSA = 128, 32, 10
 #: A link: 100 * intersection >= 80 * union. Pairs of a lower estimate than ``least_estimate`` aren't verified, but for small sets.
 PERCENT, LEAST_ESTIMATE, SMALL = 80, 0.58, 32
 LIMIT = 1024
+#: About so many members of a divided bucket are in all of its blocks.
+DELEGATES = 16
+#: Frequencies of tokens are counted in so many places by hash; any order of tokens finds all pairs.
+PLACES = 1 << 16
+#: The most classes, and about the most members of their sets, in a block of texts to verify.
+BLOCK_DOCS, BLOCK_MEMBERS = 1024, 1 << 21
 PROBES = np.array([np.random.default_rng(b).permutation(BUCKETS) for b in range(BUCKETS)])
 STARTS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
 
@@ -52,7 +69,7 @@ STARTS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
 def sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct 64-bit members of each text's set."""
     words = Words(data, offsets, NOT_SPACE)
-    h, count = words.hashes(), np.diff(words.first)
+    h, count = words.firm(), np.diff(words.first)
     out = []
     for first, n in zip(words.first.tolist(), count.tolist()):
         if n > 1:
@@ -123,8 +140,8 @@ def least_estimate(n: np.ndarray) -> np.ndarray:
     return np.minimum(LEAST_ESTIMATE, link - 5 * np.sqrt(link * (1 - link) * squares))
 
 
-def likely(regs: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """How many registers match, for pairs that may be links and aren't connected yet; else 0."""
+def likely(regs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many registers match, for pairs that may be links; else 0."""
     m = len(n)
     count = np.empty((m, m), np.uint8)
     for i in range(0, m, 64):
@@ -133,7 +150,7 @@ def likely(regs: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
     estimate = (count / BUCKETS - by_chance) / (1 - by_chance)
     ok = (estimate >= least_estimate(np.maximum(n[:, None], n))) | (np.minimum(n[:, None], n) <= SMALL)
     ok &= 100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n)
-    ok &= owner[:, None] != owner
+    np.fill_diagonal(ok, False)
     return np.where(ok, np.maximum(count, 1), 0)
 
 
@@ -151,15 +168,14 @@ def forest(weight: np.ndarray) -> Iterator[tuple[int, int]]:
         best[better], via[better] = weight[k][better], k
 
 
-def propose(members: DataFrame, every: bool) -> DataFrame:
-    """Pairs to verify, by bucket: a forest, or every likely pair of different owners."""
+def propose(members: DataFrame) -> DataFrame:
+    """A forest of the pairs to verify in each block of each bucket."""
     at = ["band", "key", "sub"]
-    ordered = members.select(*at, "rep", "owner", "n", "regs").repartition(*at).sortWithinPartitions(*at)
+    ordered = members.select(*at, "rep", "n", "regs").repartition(*at).sortWithinPartitions(*at)
 
     def pairs(held: list) -> pa.RecordBatch:
-        rep, owner, n = (np.array([r[k] for r in held]) for k in (3, 4, 5))
-        weight = likely(np.array([r[6] for r in held], np.int64).view(np.uint16), n, owner)
-        found = list(zip(*np.nonzero(np.triu(weight)))) if every else list(forest(weight))
+        rep, n = (np.array([r[k] for r in held]) for k in (3, 4))
+        found = list(forest(likely(np.array([r[5] for r in held], np.int64).view(np.uint16), n)))
         a, b = (rep[[p[k] for p in found]] if found else np.empty(0, np.int64) for k in (0, 1))
         same = [pa.array([held[0][k]] * len(found), t) for k, t in zip(range(3), (pa.int32(), pa.int64(), pa.int64()))]
         return pa.RecordBatch.from_arrays([*same, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], [*at, "a", "b"])
@@ -167,8 +183,8 @@ def propose(members: DataFrame, every: bool) -> DataFrame:
     def run(batches):
         held, now = [], None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            flat = batch.column(6)
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            flat = batch.column(5)
             regs = flat.flatten().to_numpy().reshape(-1, BANDS) if batch.num_rows else []
             for *row, r in zip(*columns, regs):
                 if now != row[:3]:
@@ -179,27 +195,64 @@ def propose(members: DataFrame, every: bool) -> DataFrame:
         if len(held) > 1:
             yield pairs(held)
 
-    return ordered.mapInArrow(run, "band int, key long, sub long, a long, b long")
+    return ordered.mapInArrow(run, "band int, key long, sub long, a long, b long").where("a <> b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with link and distance, from the whole texts (doc_id, text).
+def placed(members: DataFrame, folder: str) -> DataFrame:
+    """doc_id, home and block of each class: those that share a bucket mostly share a home, the least class of their buckets; a large home has several blocks."""
+    homes = cut(members.groupBy("rep").agg(F.min("lo").alias("home"), F.max("n").alias("n")), folder, "homes")
+    blocks = homes.groupBy("home").agg(F.greatest(F.expr(f"(count(*) - 1) div {BLOCK_DOCS} + 1"), F.expr(f"sum(n) div {BLOCK_MEMBERS} + 1")).alias("blocks"))
+    large = blocks.where("blocks > 1")
+    return homes.join(large, "home", "left").select(F.col("rep").alias("doc_id"), "home", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).alias("block"))
 
-    Pairs grow with the data, so the joins shuffle at any size.
-    """
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("shuffle_merge")
-    joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
-    def run(batches):
-        for batch in batches:
-            link, distance = [], []
-            for u, v in zip(of_column(batch.column(2)), of_column(batch.column(3))):
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                union = len(u) + len(v) - both
-                link.append(union > 0 and 100 * both >= PERCENT * union), distance.append(1 - both / max(union, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "link", "distance"])
+def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, folder: str, name: str, spanning: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with link, from the whole texts (doc_id, text).
 
-    return joined.mapInArrow(run, "a long, b long, link boolean, distance double").groupBy("a", "b").agg(F.max("link").alias("link"), F.min("distance").alias("distance"))
+    A task has the pairs between two blocks and one text of each of their
+    documents, however many pairs it is in; no task has more than two blocks.
+    ``spanning``: of links that follow from others of the same task, only some.
+    """
+    side = lambda c: places.select(F.col("doc_id").alias(c), F.struct("home", "block").alias(f"at_{c}"))
+    keyed = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    keyed = cut(keyed.select(F.xxhash64(F.least("at_a", "at_b"), F.greatest("at_a", "at_b")).alias("task"), "a", "b"), folder, f"{name}-pairs")
+    wanted = keyed.select(F.col("task").alias("to"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    bodies = wanted.hint("shuffle_merge").join(texts.select("doc_id", "text"), "doc_id").select("to", "doc_id", "text")
+
+    def check(key, left, right):
+        held: dict[int, list[np.ndarray]] = {}
+        text = right.column("text")
+        for i, u in zip(right.column("doc_id").to_pylist(), (u for part in text.chunks for u in of_column(part))):
+            held.setdefault(i, []).append(u)
+        a, b, link = left.column("a").to_pylist(), left.column("b").to_pylist(), []
+        root: dict[int, int] = {}
+
+        def find(i):
+            while root.get(i, i) != i:
+                root[i] = i = root.get(root[i], root[i])
+            return i
+
+        for i, j in zip(a, b):
+            one, two = find(i), find(j)
+            if spanning and one == two:
+                link.append(False)
+                continue
+            link.append(any(linked(u, v) for u in held.get(i, ()) for v in held.get(j, ())))
+            if link[-1]:
+                root[one] = two
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "link": pa.array(link, pa.bool_())})
+
+    return keyed.groupBy("task").cogroup(bodies.groupBy("to")).applyInArrow(check, "a long, b long, link boolean")
+
+
+def linked(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sets, sorted, reach the threshold."""
+    if not len(u) or not len(v) or 100 * min(len(u), len(v)) < PERCENT * max(len(u), len(v)):
+        return False
+    every = np.concatenate([u, v])
+    every.sort(kind="stable")
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
+    return 100 * both >= PERCENT * (len(every) - both)
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -208,28 +261,81 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return marked(docs.select("doc_id", "text"), "doc_id", ids).where("_in").drop("_in")
 
 
-def thinned(large: DataFrame, docs: DataFrame, folder: str, limit: int, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
-    """Of buckets of over ``limit`` members (band, key, rep, n, regs): what must still be compared, in blocks, and the links found."""
-    at, links = ["band", "key"], None
-    for k in range(rounds):
-        if large.isEmpty():
-            break
-        lead = large.groupBy(*at).agg(F.min("rep").alias("lead"), F.count("*").alias("m"))
-        star = cut(large.join(lead, at), folder, f"lead{k}")
-        pairs = star.where("rep <> lead and m > " + str(limit)).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        if pairs.isEmpty():
-            break
-        got = cut(verified(pairs, cut(texts_of(docs, pairs), folder, f"star{k}")), folder, f"near{k}")
-        links = got.where("link").select("a", "b") if links is None else links.unionByName(got.where("link").select("a", "b"))
-        known = star.join(got, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left").drop("a", "b")
-        nearest = known.where("m > " + str(limit) + " and not link").groupBy(*at).agg(F.min("distance").alias("miss"))
-        keep = known.join(nearest, at, "left").where(f"m <= {limit} or (rep <> lead and (not link or distance >= miss - {1 - PERCENT / 100} - 1e-9))")
-        large = cut(keep.select(*large.columns), folder, f"left{k}")
-    sizes = large.groupBy(*at).agg(F.count("*").alias("m"))
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How often tokens occur in ``texts`` (doc_id, text), by place: at most ``PLACES`` rows of each task, summed."""
+
+    def count(batches):
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for u in of_column(batch.column(1)):
+                total += np.bincount((u & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["place", "n"])
+
+    out = np.zeros(PLACES, np.int64)
+    got = texts.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("place").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def prefixes(u: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's first tokens in order of frequency, as far as any smaller set that it is linked with must share one, and how far a larger one must."""
+    n = len(u)
+    probe = n - -(-PERCENT * n // 100) + 1
+    index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+    order = np.lexsort((u, frequency[(u & np.uint64(PLACES - 1)).astype(np.int64)]))
+    return u[order[:probe]], index
+
+
+def prefix_pairs(held: DataFrame, folder: str) -> DataFrame:
+    """a, b: all pairs of different owners whose sets can reach the threshold, for ``held`` (doc_id, owner, text)."""
+    frequency = frequencies(held.select("doc_id", "text"))
+
+    def entries(batches):
+        for batch in batches:
+            tokens, sizes, places, lead = [], [], [], []
+            for u in of_column(batch.column(2)):
+                first, index = prefixes(u, frequency) if len(u) > 3 else (u[:0], 0)
+                tokens.append(first), sizes.append(len(u)), lead.append(np.arange(len(first)) < index), places.append(np.arange(len(first), dtype=np.int32))
+            if not tokens:
+                continue
+            row = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+            flat = [pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(sizes, pa.int32()).take(row), pa.array(np.concatenate(places)), pa.array(np.concatenate(lead))]
+            yield pa.RecordBatch.from_arrays(flat, ["token", "doc_id", "owner", "n", "place", "lead"])
+
+    made = cut(held.select("doc_id", "owner", "text").mapInArrow(entries, "token long, doc_id long, owner long, n int, place int, lead boolean"), folder, "entries")
+    # tokens of one owner alone, or in no set's index, make no pairs
+    telling = made.groupBy("token").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("lead").alias("any")).where("lo <> hi and any").select("token")
+    live = made.join(telling, "token")
+    x = live.where("lead").select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "owner", "n", "place")])
+    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "owner", "n", "place")])
+    ordered = "(x_n < y_n or (x_n = y_n and x_doc_id < y_doc_id))"
+    near = f"100L * x_n >= {PERCENT}L * y_n"
+    enough = f"{100 + PERCENT}L * (least(x_place, y_place) + least(x_n - x_place, y_n - y_place)) >= {PERCENT}L * (x_n + y_n)"
+    joined = x.hint("shuffle_merge").join(y, "token").where(f"x_owner <> y_owner and {ordered} and {near} and {enough}")
+    return joined.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
+def divided(members: DataFrame, limit: int) -> DataFrame:
+    """``members`` with sub, the block of their bucket; delegates of large buckets are in every block."""
     half = max(limit // 2, 1)
-    blocks = large.join(sizes, at).withColumn("c", F.expr(f"case when m <= {limit} then 1 else (m - 1) div {half} + 1 end")).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("c")))
-    pairs = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
-    return pairs.withColumn("sub", 1 + F.least("i", "j") * F.col("c") + F.greatest("i", "j")).drop("m", "c", "i", "j"), links
+    blocks = F.expr(f"case when m <= {limit} then 1L else (m - 1) div {half} + 1 end")
+    place = F.xxhash64("rep", "band", "key")
+    delegate = (F.col("m") > limit) & (F.pmod(place, F.col("m")) < DELEGATES)
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit(2)), F.col("_blocks")))
+    return members.withColumn("_blocks", blocks).withColumn("sub", F.explode(F.when(delegate, F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).otherwise(own))).drop("_blocks")
+
+
+def unsettled(members: DataFrame, first: DataFrame, checked: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """doc_id and owner of the classes that may have links which their buckets' forests don't tell."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    failed = checked.where("not link").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    open_ = first.join(failed, ["a", "b"]).select("band", "key").distinct()
+    owned = lambda df: df.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("owner", F.coalesce("root", "rep"))
+    large = owned(members.where(F.col("m") > limit).select("band", "key", "rep"))
+    split = large.groupBy("band", "key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("band", "key")
+    reps = members.select("band", "key", "rep").join(open_.unionByName(split).distinct(), ["band", "key"]).select("rep").distinct()
+    return owned(reps).select(F.col("rep").alias("doc_id"), "owner")
 
 
 def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -239,33 +345,27 @@ def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = cut(features(docs), folder, "features")
     real = rows.where("n > 0 and doc_id is not null")
     reps = cut(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("regs").alias("regs")), folder, "reps")
-    banded = reps.select("rep", F.posexplode("regs").alias("band", "key"))
+    banded = reps.where("n > 3").select("rep", F.posexplode("regs").alias("band", "key"))
     # buckets of the same members are compared once
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("y")).where("m > 1")
-    buckets = shared.groupBy("m", "lo", "x", "y").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "m")
+    buckets = shared.groupBy("m", "lo", "x", "y").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "m", "lo")
     members = banded.join(cut(buckets, folder, "buckets"), ["band", "key"])
     members = cut(members.join(reps.select("rep", "n", "regs"), "rep"), folder, "members")
-    small = members.where(F.col("m") <= limit).drop("m").withColumn("sub", F.lit(0).cast("long"))
-    blocks, links = thinned(members.where(F.col("m") > limit).drop("m"), docs, folder, limit)
-    compared = small.unionByName(blocks.select(*small.columns))
-    if links is not None:
-        compared = cut(compared, folder, "compared")
-    first = cut(propose(compared.withColumn("owner", F.col("rep")), False), folder, "first")
+    compared = divided(members, limit)
+    first = cut(propose(compared), folder, "first")
     texts = cut(texts_of(docs, first), folder, "texts")
-    checked = cut(verified(first, texts), folder, "checked")
+    places = cut(placed(members, folder), folder, "places")
+    checked = cut(verified(first, texts, places, folder, "first"), folder, "checked")
     found = checked.where("link").select("a", "b")
-    if links is not None:
-        found = found.unionByName(links)
     roots = stars(found, folder, "roots")
-    failed = first.join(checked.where("not link"), ["a", "b"])
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = failed.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    again = compared.join(apart.select("band", "key", "sub").distinct(), ["band", "key", "sub"])
-    again = again.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("owner", F.coalesce("root", "rep"))
-    second = cut(propose(again, True).select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), folder, "second")
-    if not second.isEmpty():
-        more = verified(second, texts).where("link").select("a", "b")  # whatever is likely now was likely before
-        roots = stars(found.unionByName(cut(more, folder, "more")), folder, "all")
+    left = cut(unsettled(members, first, checked, roots, limit), folder, "unsettled")
+    if not left.isEmpty():
+        near = marked(docs.select("doc_id", "text"), "doc_id", left.select("doc_id")).where("_in").drop("_in")
+        held = cut(near.join(left.hint("shuffle_merge"), "doc_id"), folder, "held")
+        pairs = cut(prefix_pairs(held, folder).join(checked, ["a", "b"], "left_anti"), folder, "second")
+        if not pairs.isEmpty():
+            more = cut(verified(pairs, held, places, folder, "second", True), folder, "more").where("link").select("a", "b")
+            roots = stars(found.unionByName(more), folder, "all")
     named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "copies", F.coalesce("root", "rep").alias("component_id"))
     named = cut(named, folder, "named")
     linked = join_groups(real.select("doc_id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "copies", rows.count()).select("doc_id", "n", "component_id")

@@ -2,11 +2,14 @@
 
 A word is a maximal run of bytes from a class. Each word gets a 64-bit hash
 from prefix sums of a polynomial in an odd base, which has an inverse modulo
-2**64, so that a word's hash doesn't depend on where it stands.
+2**64, so that a word's hash doesn't depend on where it stands. Some long words
+collide in any such polynomial; ``firm`` hashes words of over ``LONG`` bytes by
+a cryptographic function instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK = 1 << 20
+LONG = 32
 
 #: Everything but white space; and letters, digits and bytes of longer characters.
 NOT_SPACE = np.ones(256, bool)
@@ -112,6 +116,16 @@ class Words:
         """Hashes of any spans of bytes, once ``hashes`` was called."""
         return mix((self.upto[end] - self.upto[start]) * self.down[start])
 
+    def firm(self) -> np.ndarray:
+        """``hashes``, lower-cased, where long words have the hash of their bytes by BLAKE2."""
+        h = self.hashes()
+        long = np.flatnonzero(self.end - self.start > LONG)
+        if len(long):
+            raw = LOWER[self.data].tobytes()
+            digest = lambda a, b: hashlib.blake2b(raw[a:b], digest_size=8).digest()
+            h[long] = np.frombuffer(b"".join(map(digest, self.start[long].tolist(), self.end[long].tolist())), np.uint64)
+        return h
+
     def pairs(self, gap: int = 1) -> np.ndarray:
         """The places of words that have a word ``gap`` further on in the same row."""
         ok = np.ones(max(0, len(self.start) - gap), bool)

@@ -1,9 +1,13 @@
 """What bounds of samples and sizes must not change."""
 
+import random
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 
-from rillet.llm import near_dedup, quality, token_shards, topk, toxicity
+from rillet.llm import near_dedup, quality, textscan, token_shards, topk, toxicity
 
 
 # 9
@@ -44,14 +48,70 @@ def test_estimates_of_small_sets():
     for seed in range(4000):
         a = rng.integers(0, 1 << 64, 45, np.uint64)
         regs = np.array([near_dedup.registers(np.sort(a[:36])), near_dedup.registers(np.sort(a))])
-        assert near_dedup.likely(regs, n, np.arange(2))[0, 1], seed
+        assert near_dedup.likely(regs, n)[0, 1], seed
     # 79 of 128 registers match: an estimate of 0.617, which pairs at 0.8 do have
     regs = np.arange(256, dtype=np.uint16).reshape(2, 128)
     regs[1, :79] = regs[0, :79]
     for size in (33, 36, 45, 90, 500):
-        assert near_dedup.likely(regs, np.array([size, size]), np.arange(2))[0, 1], size
+        assert near_dedup.likely(regs, np.array([size, size]))[0, 1], size
     regs[1, 60:79] += 128
-    assert not near_dedup.likely(regs, np.array([500, 500]), np.arange(2))[0, 1]
+    assert not near_dedup.likely(regs, np.array([500, 500]))[0, 1]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Long words of equal polynomial hashes in every base modulo 2**64 are different words."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    w = textscan.Words(*textscan.buffers(pa.array([f"{one} {two} {one.upper()}"])), textscan.NOT_SPACE)
+    assert w.hashes()[0] == w.hashes()[1] and w.firm()[0] != w.firm()[1] and w.firm()[0] == w.firm()[2]
+    got = near_dedup.classes(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
+def counted(spark, monkeypatch, rows, limit=near_dedup.LIMIT):
+    """The components of ``rows``, and the number of pairs verified before and after the exact join."""
+    made, cut = {}, near_dedup.cut
+
+    def count(df, folder, name):
+        out = cut(df, folder, name)
+        made[name] = out.select("a", "b").distinct().count() if {"a", "b"} <= set(out.columns) else out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", count)
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), limit).collect()}
+    monkeypatch.setattr(near_dedup, "cut", cut)
+    return got, made.get("first", 0), made.get("second", 0)
+
+
+@pytest.mark.parametrize("limit", [near_dedup.LIMIT, 100])
+def test_boilerplate_is_linear(spark, monkeypatch, limit):
+    """Many texts that share most of their words, but are no links, propose about as many pairs as they are."""
+    for n in (200, 400):
+        rng = random.Random(n)
+        short = [(i, f"please now do click here x{i}") for i in range(n)]
+        common = " ".join(f"c{k}" for k in range(170))
+        long = [(n + i, common + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(34))) for i in range(n)]
+        got, first, second = counted(spark, monkeypatch, short + long, limit)
+        assert all(i == c for i, c in got.items())
+        assert first <= 32 * 2 * n * (1 if limit > n else 1.5) and second <= n // 10, (n, first, second)
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    """Copies of one text in a divided bucket are linked through its delegates; pairs verified are far fewer than all."""
+    rng, n = random.Random(3), 600
+    words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        mine = list(words)
+        for _ in range(2):
+            mine[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(mine)))
+    got, first, second = counted(spark, monkeypatch, rows, 50)
+    assert set(got.values()) == {0} and first + second < n * (n - 1) / 2 / 4
 
 
 # 2
