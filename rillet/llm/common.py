@@ -65,6 +65,13 @@ def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return told.where("not _in").drop("_in").unionByName(maybe.join(named, F.col(column) == F.col("_id"), "left_anti"))
 
 
+def fingerprint(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of all columns of a row; rows of equal columns have equal ones."""
+    plain = [F.col(f.name) if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString() else F.col(f.name).cast("string") for f in df.schema]
+    nulls = [F.col(c).isNull() for c in df.columns]  # a hash skips nulls
+    return F.xxhash64(*plain, *nulls), F.xxhash64(F.lit(1), *plain, *nulls)
+
+
 class Smallest:
     """Of a task's rows, those of a smaller order than any row of their id before: few, wherever an id repeats."""
 
