@@ -3,16 +3,25 @@
 A document's size is its number of words. Sources, in order of code points with
 null last, weigh 3, 1, 2 and again; they share ``SHARE`` of all words, none over
 ``CAP`` times its own: the excess goes to the others by weight. Each source's
-documents are permuted by a hash of doc_id and laid end to end, over and over,
-up to its target. That stream is cut into blocks. The tree divides the exact
-numbers of blocks of all sources among output shards, half by half, each time
-by a multivariate-hypergeometric draw; a shard takes the next blocks of each
-source and is shuffled by itself. Running sums are kept per source and hash
-prefix, so no task has a whole source.
-
-Null and empty texts have size 0 and are never taken. Rows of one doc_id and
-size are interchangeable. An empty table gives an empty mix. Draws depend on
-``SEED`` and the data alone.
+documents are permuted by a hash of their id and text and laid end to end,
+``CAP`` times over; that stream is cut into blocks, at least sixteen to a round.
+
+The tree divides the exact numbers of blocks that the sources owe among output
+shards, half by half, each time by a multivariate-hypergeometric draw; the
+stream's other blocks are divided along in proportion. So every shard has a
+stretch of each source's stream, disjoint from those of other shards, and draws
+its number of blocks as a run from it, at a random place; it is shuffled by
+itself. The last block that a source draws is cut to its target, so each source
+gives its target to a word. Running sums are kept per source and hash prefix, so
+no task has a whole source.
+
+Null and empty texts have size 0 and are never taken; null sources are a source.
+Rows of one doc_id and size are interchangeable in ``documents``; ``mixed`` tells
+all rows apart by all their columns, and takes rows equal in all of them as often
+as all together are drawn. An empty table gives an empty mix. Long texts lie in
+several blocks. Other columns pass through ``mixed``, whatever their names. Draws
+depend on ``SEED`` and the data alone. The driver holds a row for each source,
+which may be ``MOST_SOURCES`` (more are an error), and at most ``MOST_BLOCKS`` runs.
 """
 
 from __future__ import annotations
@@ -22,20 +31,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillet.llm.common import fingerprint, marked
 from rillet.scratch import cut, shared_dir
 
 SHARE, CAP, SEED = 1.5, 2, 20
+PRINTS = ["_print1", "_print2"]
 BLOCK_WORDS, SHARD_BLOCKS = 4096, 512
-#: numpy's hypergeometric draws need fewer blocks than this in all; blocks grow to hold more.
-MOST_BLOCKS = 500_000_000
+#: Of large sources there are so many blocks at most in all; blocks grow to hold more. Sources of few words have ``LEAST_BLOCKS`` a round.
+MOST_BLOCKS, LEAST_BLOCKS = 2_000_000, 16
 #: Nor are there more shards than this; beyond, each gets more blocks.
 MOST_SHARDS = 200_000
+MOST_SOURCES = 1_000_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """doc_id, skey, size and key of each row; ``rows``: with the fingerprint of all its columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("z"))
-    return docs.select("doc_id", key.alias("skey"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
+    skey = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("z"))
+    key = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64(text).cast("string")).cast("binary"))
+    prints = [c.alias(n) for c, n in zip(fingerprint(docs), PRINTS)] if rows else []
+    return docs.select("doc_id", skey.alias("skey"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), key.alias("key"), *prints)
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -62,67 +77,87 @@ def laid(rows: DataFrame, sources: DataFrame, total: int) -> DataFrame:
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("b"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "bucket", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("base")).join(sources, "skey")
-    within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size")
+    within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size", *[c for c in PRINTS if c in rows.columns])
     rows = rows.withColumns({"rid": F.row_number().over(within), "off": F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     return rows.join(sums, ["skey", "bucket"]).withColumn("begin", F.col("base") + F.col("off")).drop("base", "off")
 
 
-def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source (column) for each shard (row); columns add up to ``quotas``, rows differ by one at most."""
+def split(quotas: np.ndarray, pools: np.ndarray, shards: int, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """shard, source, begin and count of each run of blocks drawn.
+
+    The counts of a source add up to its quota, runs lie apart in its pool, and
+    shards' counts differ by one at most. A branch holds only sources that still
+    owe it blocks.
+    """
     rng = np.random.default_rng(seed)
     total = int(quotas.sum())
     sizes = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
-    out = np.zeros((shards, len(quotas)), np.int64)
-    todo = [(0, shards, quotas.astype(np.int64))]
+    some = np.flatnonzero(quotas)
+    todo = [(0, shards, some, quotas[some].astype(np.int64), np.zeros(len(some), np.int64), (pools - quotas)[some].astype(np.int64))]
+    out = []
     while todo:
-        a, b, left = todo.pop()
+        a, b, who, left, lo, spare = todo.pop()
+        if not len(who):
+            continue
         if b - a == 1:
-            out[a] = left
+            out.append((np.full(len(who), a), who, lo + rng.integers(0, spare + 1), left))
             continue
         m = (a + b) // 2
-        draw = rng.multivariate_hypergeometric(left, int(sizes[a:m].sum()), method="marginals")
-        todo += [(m, b, left - draw), (a, m, draw)]
-    return out
-
-
-def assigned(sources: DataFrame, block_words: int | None = None, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, int]:
-    """skey, block, shard of every block of every source, and the words of a block.
-
-    The driver holds a row per source and, for each of at most ``MOST_SHARDS``
-    shards, a number per source.
-    """
-    spark = sources.sparkSession
-    got = sources.select("skey", "words").orderBy("skey").collect()
-    words = np.array([r.words for r in got], np.int64)
-    block = block_words or max(BLOCK_WORDS, int(-(-words.sum() // MOST_BLOCKS)))
-    quotas = -(-words // block)
+        here = int(sizes[a:m].sum())
+        draw = rng.multivariate_hypergeometric(left, here, method="marginals")
+        share = (spare * (here / max(int(left.sum()), 1))).astype(np.int64)
+        for c, d, n, at, free in ((m, b, left - draw, lo + draw + share, spare - share), (a, m, draw, lo, share)):
+            held = np.flatnonzero(n)
+            todo.append((c, d, who[held], n[held], at[held], free[held]))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(4))
+
+
+def block_size(sources: DataFrame, block_words: int) -> DataFrame:
+    return sources.withColumn("block_words", F.least(F.lit(block_words).cast("long"), F.greatest(F.expr(f"source_size div {LEAST_BLOCKS}"), F.lit(1).cast("long"))))
+
+
+def assigned(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """skey, block, shard and words of every block drawn, from ``sources`` (skey, source_size, words, block_words)."""
+    got = sources.select("skey", "source_size", "words", "block_words").orderBy("skey").limit(MOST_SOURCES + 1).collect()
+    if len(got) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources")
+    size, words, block = (np.array([r[k] for r in got], np.int64) for k in (1, 2, 3))
+    pools = CAP * size // block if len(got) else size
+    quotas = np.minimum(-(-words // np.maximum(block, 1)), pools)
     shards = min(max(1, -(-int(quotas.sum()) // shard_blocks)), MOST_SHARDS)
-    plan = split(quotas, shards) if len(quotas) else np.zeros((1, 0), np.int64)
-    ends = np.cumsum(plan, 0)
-    shard, s = np.nonzero(plan)
-    names = pa.array([r.skey for r in got], pa.string()).take(pa.array(s))
-    columns = [names, pa.array(shard.astype(np.int32)), pa.array(ends[shard, s] - plan[shard, s]), pa.array(ends[shard, s])]
-    table = spark.createDataFrame(pa.Table.from_arrays(columns, ["skey", "shard", "lo", "hi"]))
-    return table.select("skey", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("block")), block
-
-
-def drawn(laid_rows: DataFrame, block: int) -> DataFrame:
-    """A row for each piece of a document that lies in one block: epoch, block, words."""
-    epochs = F.sequence(F.lit(0), F.lit(CAP - 1))
-    pieces = laid_rows.where("size > 0").withColumn("epoch", F.explode(epochs)).withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("begin"))
-    pieces = pieces.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("words"))).where("hi > lo")
-    pieces = pieces.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))))
-    return pieces.withColumn("taken", F.least(F.col("hi"), (F.col("block") + 1) * block) - F.greatest(F.col("lo"), F.col("block") * block))
+    shard, who, begin, count = split(quotas, pools, shards)
+    order = np.lexsort((begin, who))
+    shard, who, begin, count = (x[order] for x in (shard, who, begin, count))
+    final = block[who].copy()
+    last = np.flatnonzero(np.append(who[1:] != who[:-1], True)) if len(who) else who
+    final[last] -= np.maximum((quotas * block - words)[who[last]], 0)
+    # what a source owes beyond its whole blocks lies at the stream's end
+    rest = np.flatnonzero(words > pools * block)
+    at = np.zeros(len(got), np.int64)
+    at[who[last]] = shard[last]
+    names = pa.array([r.skey for r in got], pa.string()).take(pa.array(np.concatenate([who, rest]).astype(np.int64)))
+    columns = [np.concatenate(c).astype(np.int64) for c in ((shard, at[rest]), (begin, pools[rest]), (begin + count - 1, pools[rest]), (final, (words - pools * block)[rest]), (block[who], block[rest]))]
+    table = sources.sparkSession.createDataFrame(pa.Table.from_arrays([names, *map(pa.array, columns)], ["skey", "shard", "lo", "hi", "final", "full"]))
+    runs = table.withColumn("block", F.explode(F.sequence("lo", "hi")))
+    return runs.select("skey", "block", F.col("shard").cast("int").alias("shard"), F.when(F.col("block") == F.col("hi"), F.col("final")).otherwise(F.col("full")).alias("owed"))
 
 
 class Mix:
-    def __init__(self, docs: DataFrame, block_words: int | None = None, shard_blocks: int = SHARD_BLOCKS):
+    """``laid``: the rows in their source's stream; ``blocks``: those drawn; ``pieces``: a row for each part of a row that lies in one drawn block."""
+
+    def __init__(self, docs: DataFrame, block_words: int | None = None, shard_blocks: int = SHARD_BLOCKS, rows: bool = False):
         folder = shared_dir(docs.sparkSession)
-        rows = cut(sized(docs), folder, "sizes")
-        self.sources = cut(targets(rows), folder, "sources")
-        self.laid = cut(laid(rows, self.sources, rows.count()), folder, "laid")
-        self.blocks, self.block = assigned(self.sources, block_words, shard_blocks)
-        self.pieces = drawn(self.laid, self.block).join(self.blocks, ["skey", "block"])
+        sizes = cut(sized(docs, rows), folder, "sizes")
+        total, n = sizes.agg(F.sum("size"), F.count("*")).first()
+        block_words = block_words or max(BLOCK_WORDS, -(-CAP * (total or 0) // MOST_BLOCKS))
+        self.sources = cut(block_size(targets(sizes), block_words), folder, "sources")
+        self.laid = cut(laid(sizes, self.sources, n), folder, "laid")
+        self.blocks = assigned(self.sources, shard_blocks)
+        at = self.laid.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))))
+        at = at.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("begin")).withColumn("hi", F.col("lo") + F.col("size"))
+        at = at.withColumn("block", F.explode(F.sequence(F.expr("lo div block_words"), F.expr("(hi - 1) div block_words"))))
+        began = F.col("block") * F.col("block_words")
+        self.pieces = at.join(self.blocks, ["skey", "block"]).withColumn("taken", F.least(F.col("hi"), began + F.col("owed")) - F.greatest(F.col("lo"), began)).where("taken > 0")
 
     def documents(self) -> DataFrame:
         """What the mix takes of each row."""
@@ -134,34 +169,19 @@ class Mix:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns, once for each time they are taken.
 
-    Each shard is a partition in an order of its own. The document at which a
-    source's target ends is kept whole, in the shard of its first word.
+    A document is taken whole where its first word is, so a source may exceed or
+    miss its target by about a document for each run of blocks. Each shard is a
+    partition in an order of its own.
     """
-    mix = Mix(docs)
-    first = mix.pieces.where(F.expr(f"lo div {mix.block} = block"))
-    rows = first.groupBy("doc_id", "epoch").agg(F.min("shard").alias("_shard")).withColumnsRenamed({"doc_id": "_id", "epoch": "_epoch"})
-    order = F.xxhash64("_id", "_epoch", F.lit(SEED))
-    joined = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_order", order).repartition("_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    mix = Mix(docs, rows=True)
+    first = mix.pieces.where("lo div block_words = block").select(*PRINTS, F.col("shard").alias("_shard"), F.xxhash64(*PRINTS, "epoch", "bucket", "rid", F.lit(SEED)).alias("_order"))
+    own = docs.withColumns(dict(zip(PRINTS, fingerprint(docs))))
+    equal = mix.laid.groupBy(*PRINTS).count().where("count > 1").select(PRINTS[0])
+    told = marked(own, PRINTS[0], equal)
+    one = told.where("_in").groupBy(*PRINTS).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*", *PRINTS)
+    joined = told.where("not _in").drop("_in").unionByName(one).join(first, PRINTS)
+    return joined.repartition("_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return Mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).documents()
-
-
-SQL = r"""
-WITH d AS (SELECT doc_id, coalesce('s' || source, 'z') AS skey, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
-a AS (SELECT skey, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY skey),
-b AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS INTEGER)] AS w FROM a),
-c AS (SELECT *, CAST(sum(s) OVER () AS DOUBLE) AS t, sum(w) OVER () AS ws, coalesce(sum(s) OVER p, 0) AS cs, coalesce(sum(w) OVER p, 0) AS cw FROM b
-      WINDOW p AS (ORDER BY s * 6 // w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-e AS (SELECT *, CAST(4.0 AS DOUBLE) * s * (ws - cw) <= w * (CAST(3.0 AS DOUBLE) * t - CAST(4.0 AS DOUBLE) * cs) AS f FROM c),
-g AS (SELECT skey, s AS source_size, CASE WHEN f THEN CAST(2.0 AS DOUBLE) * s ELSE
-        w * ((CAST(1.5 AS DOUBLE) * t - CAST(2.0 AS DOUBLE) * coalesce(sum(CASE WHEN f THEN s END) OVER (), 0)) / CAST(nullif(ws - coalesce(sum(CASE WHEN f THEN w END) OVER (), 0), 0) AS DOUBLE)) END AS target FROM e),
-h AS (SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words,
-        CAST(coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo
-      FROM d JOIN g USING (skey))
-SELECT doc_id, size, source_size, target,
-       greatest(least(lo + size, words) - lo, 0) + greatest(least(source_size + lo + size, words) - source_size - lo, 0) AS taken FROM h
-"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.SQL, "op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL}
+    return {"op2_topk": topk.SQL, "op3_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL}
