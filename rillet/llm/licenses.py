@@ -1,21 +1,27 @@
 """Licence scans: base phrases, and an exact set-similarity join with templates.
 
 A text's words (runs of letters, digits and other characters, lower-cased in
-ASCII) are cut into blocks of ``BLOCK`` words that begin every ``BLOCK / 2``, so
-that any ``BLOCK / 2`` neighbours share a block. A block matches a template when
-it holds at least ``THRESHOLD`` of the template's distinct words. Tokens are
-ordered by their frequency in the whole corpus, rarest first; only words of a
-template's prefix make candidates, which then pass the length filter and the
-positional filter before their sets are intersected. The filters lose nothing.
+ASCII) are cut into blocks, and a block matches a template when it holds at
+least ``THRESHOLD`` of the template's distinct words. Blocks are as wide as a
+template needs: ``BLOCK`` words, doubled until half a block holds the whole
+template; they begin every half block, so that any words as many as the template
+has share a block. Templates of one width share blocks; any length will do.
+Tokens are ordered by their frequency in the whole corpus, rarest first; only
+words of a template's prefix make candidates, which then pass the length filter
+and the positional filter before their sets are intersected. The filters lose
+nothing.
 
 Null and empty texts have no words, labels '' and score 0. Very long texts have
 more blocks; repeated rows are scanned one by one. ``score`` is the largest
-containment of a matching template, 1 where a base phrase stands.
+containment of a matching template, 1 where a base phrase stands; of labels
+that match equally well all are given. Empty tables give no rows. Columns besides
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -28,7 +34,31 @@ from rillet.llm.textscan import ALNUM, Words, buffers, pieces
 
 BLOCK, THRESHOLD = 96, 0.8
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label and words; no template has over BLOCK / 2 words.
+#: A whole licence, in the words of its scans.
+MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without
+restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the
+software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection
+with the software or the use or other dealings in the software"""
+BSD2 = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the
+above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied
+warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be
+liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or
+business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this
+software even if advised of the possibility of such damage"""
+ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice
+appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no
+event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+negligence or other tortious action arising out of or in connection with the use or performance of this software"""
+APACHE_NOTICE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org
+licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind
+either express or implied see the license for the specific language governing permissions and limitations under the license"""
+GPL_NOTICE = """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of
+the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or
+fitness for a particular purpose see the gnu general public license for more details"""
+#: Label and words.
 TEMPLATES = [
     ("mit-notice", "released under the mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
@@ -39,6 +69,7 @@ TEMPLATES = [
     ("cc-by-nc-notice", "licensed under cc by nc 4 0"),
     ("cc-by-notice", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mit-full", MIT), ("bsd-full", BSD2), ("isc-full", ISC), ("apache-header", APACHE_NOTICE), ("gpl-header", GPL_NOTICE),
     ("mpl-text", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 
@@ -78,13 +109,13 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     return {int(tokens[r.token]): r.n for r in rows}
 
 
-class Scanner:
-    def __init__(self, frequency: dict[int, int], templates=TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK):
-        self.block, self.stride = block, block // 2
+class Templates:
+    """Templates of one width of blocks, with their prefixes."""
+
+    def __init__(self, block: int, templates, rank: dict[int, int], threshold: float):
+        self.block, self.stride, self.rank = block, block // 2, rank
         self.labels, self.sets, self.need = [], [], []
         prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        rank = {t: k for k, t in enumerate(sorted({int(x) for _, t in templates for x in hashes(t)}, key=lambda x: (frequency.get(x, 0), x)))}
-        self.rank = rank
         for k, (label, text) in enumerate(templates):
             ordered = sorted({int(x) for x in hashes(text)}, key=rank.__getitem__)
             need = math.ceil(threshold * len(ordered) - 1e-9)
@@ -93,39 +124,59 @@ class Scanner:
                 prefix[token].append((k, i))
         self.prefix = prefix
         self.keys = np.array(sorted(prefix), np.uint64)
-        self.tokens = np.array(sorted(rank), np.uint64)
 
-    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-        """row, first and last word of the block (within the row), template, containment."""
+    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, str, float]]:
+        """row, first and last word of the block (within the row), label, containment."""
         at, which = find(h, self.keys)
         if not len(at):
             return []
         row = np.searchsorted(first, at, side="right") - 1
-        seen, out = set(), []
+        seen, out, blocks = set(), [], {}
         for p, r, key in zip(at.tolist(), row.tolist(), self.keys[which].tolist()):
             place, n = p - int(first[r]), int(first[r + 1] - first[r])
             for b in {place // self.stride, max(place // self.stride - 1, 0)}:
+                begin, end = b * self.stride, min(b * self.stride + self.block, n)
+                if place >= end or begin and begin + self.stride >= n:
+                    continue  # not in this block, or a tail that the block before holds whole
                 for k, i in self.prefix[key]:
                     if (r, b, k) in seen:
                         continue
                     seen.add((r, b, k))
-                    begin, end = b * self.stride, min(b * self.stride + self.block, n)
-                    if place >= end or begin and begin + self.stride >= n:
-                        continue  # not in this block, or a tail that the block before holds whole
-                    held = set(h[first[r] + begin : first[r] + end].tolist())
-                    need, size = self.need[k], len(self.sets[k])
+                    if (r, b) not in blocks:
+                        held = set(h[first[r] + begin : first[r] + end].tolist())
+                        blocks[r, b] = held, sorted(self.rank[t] for t in held if t in self.rank)
+                    (held, ranks), need, size = blocks[r, b], self.need[k], len(self.sets[k])
                     if len(held) < need:
                         continue
-                    later = [t for t in held if t in self.rank and self.rank[t] > self.rank[key]]
                     before = sum(t in held for t in self.sets[k][:i])
-                    if before + 1 + min(size - i - 1, len(later)) < need:
+                    if before + 1 + min(size - i - 1, len(ranks) - bisect_right(ranks, self.rank[key])) < need:
                         continue
                     share = sum(t in held for t in self.sets[k]) / size
                     if share * size >= need:
-                        out.append((r, begin, end, k, share))
+                        out.append((r, begin, end, self.labels[k], share))
         return out
 
 
+class Scanner:
+    """``groups``: the templates by the width of the blocks that they need."""
+
+    def __init__(self, frequency: dict[int, int], templates=TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK):
+        words = [hashes(t) for _, t in templates]
+        if not all(map(len, words)):
+            raise ValueError("a template has no words")
+        rank = {t: k for k, t in enumerate(sorted({int(x) for w in words for x in w}, key=lambda x: (frequency.get(x, 0), x)))}
+        by: dict[int, list] = defaultdict(list)
+        for w, template in zip(words, templates):
+            width = block
+            while width < 2 * len(w):
+                width *= 2
+            by[width].append(template)
+        self.groups = [Templates(width, own, rank, threshold) for width, own in sorted(by.items())]
+
+    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, str, float]]:
+        return [m for g in self.groups for m in g.matches(h, first)]
+
+
 def phrase_starts(h: np.ndarray, first: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(h == phrase[0])
     for k in range(1, len(phrase)):
@@ -152,8 +203,8 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
                     for r, p in zip(row.tolist(), place.tolist()):
                         found[r].append((p - int(first[r]), label))
                 blocks: dict[int, list] = defaultdict(list)
-                for r, begin, end, k, share in scanner.matches(h, first):
-                    blocks[r].append({"begin": begin, "end": end, "template": scanner.labels[k], "containment": share})
+                for r, begin, end, label, share in scanner.matches(h, first):
+                    blocks[r].append({"begin": begin, "end": end, "template": label, "containment": share})
                 for r, n in enumerate(np.diff(first).tolist()):
                     hits, own = found.get(r, []), blocks.get(r, [])
                     names = {x for _, x in hits}
