@@ -33,6 +33,8 @@ BITS = 20
 STEMS = (4, 5, 6)
 #: The most labelled documents of a class on which the model is fitted.
 ROWS = 4000
+#: The most features, of all its documents together, from which the model learns; they are taken in the order of the documents' hashes.
+FEATURES = 1 << 25
 ALPHA, BETA, L1, L2, ROUNDS = 1.0, 1.0, 3.0, 0.0, 5
 THRESHOLD = 0.7
 
@@ -95,16 +97,16 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(places, every[places].astype(np.float32), float(every[-1]))
 
 
-def correction(totals: dict[int, int], rows: int) -> float:
-    """The log-odds of the classes' shares in all labels less those in the sample of at most ``rows`` each."""
-    if not (totals.get(0) and totals.get(1)):
+def correction(totals: dict[int, int], used: dict[int, int]) -> float:
+    """The log-odds of the classes' shares in all labels less those in what was learnt from."""
+    if not all(n.get(y) for n in (totals, used) for y in (0, 1)):
         return 0.0
-    kept = [min(totals[y], rows) / totals[y] for y in (0, 1)]
+    kept = [used[y] / totals[y] for y in (0, 1)]
     return float(np.log(kept[0] / kept[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows: int = ROWS) -> Model:
-    """Learns from the labels whose doc_id isn't held out."""
+def samples(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows: int = ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, y, o, h, tie and places (int32) of what may be learnt from, at most ``2 * rows`` rows; and how many labels there are of each class."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", parts, part))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_y")).withColumn("_o", F.xxhash64("doc_id"))
@@ -131,17 +133,32 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), batch.column(4), tie, pa.array(out, pa.binary())], ["doc_id", "y", "o", "h", "tie", "places"])
 
     found = chosen.mapInArrow(features, "doc_id long, y int, o long, h long, tie long, places binary")
-    got = one_each(found, "doc_id", "h").toArrow()  # at most 2 * rows, of at most 4 << BITS bytes
-    if not got.num_rows:
+    return one_each(found, "doc_id", "h"), totals
+
+
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows: int = ROWS, features: int = FEATURES) -> Model:
+    """Learns from the labels whose doc_id isn't held out, in one task; the driver gets the weights alone."""
+    taught, totals = samples(docs, labels, parts, part, rows)
+
+    def learn(batches):
+        places, y, left = [], [], features
+        for batch in batches:
+            if left < 0:
+                break
+            for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                left -= len(raw) // 4
+                if left < 0 and places:
+                    break
+                places.append(np.frombuffer(raw, np.int32)), y.append(label)
+        model = ftrl(places, np.array(y)) if places else Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
+        yield pa.RecordBatch.from_pydict({"places": pa.array([model.places.tobytes()], pa.binary()), "weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias], "none": pa.array([y.count(0)], pa.int64()), "some": pa.array([y.count(1)], pa.int64())})
+
+    ordered = taught.select("y", "places", "o", "doc_id", "tie").repartition(1).sortWithinPartitions("o", "doc_id", "tie").select("y", "places")
+    got = ordered.mapInArrow(learn, "places binary, weights binary, bias double, none long, some long").collect()
+    if not got:
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
-    order = np.lexsort([got.column(c).to_numpy() for c in ("tie", "doc_id", "o")])
-    y = got.column("y").to_numpy()[order]
-    body, at = buffers(got.column("places").cast(pa.large_binary()))  # the one copy that the driver keeps
-    del got
-    flat, at = body.view(np.int32), at // 4
-    model = ftrl([flat[at[k] : at[k + 1]] for k in order], y)
-    model.bias += correction(totals, rows)
-    return model
+    one = got[0]
+    return Model(np.frombuffer(one.places, np.int32), np.frombuffer(one.weights, np.float32), one.bias + correction(totals, {0: one.none, 1: one.some}))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
