@@ -20,8 +20,10 @@ def test_toxicity_share(spark):
         model = toxicity.fit(df, labels, rows=rows)
         scores = [r.score for r in toxicity.scored(df.limit(1), model).collect()]
         assert abs(np.mean(scores) - 0.1) < 0.05, rows
-    assert toxicity.correction({0: 9000, 1: 1000}, 10_000) == 0.0 == toxicity.correction({0: 9000}, 10)
-    assert np.isclose(toxicity.correction({0: 9000, 1: 1000}, 500), np.log(1 / 9))
+    assert toxicity.correction({0: 9000, 1: 1000}, {0: 90, 1: 10}) == 0.0 == toxicity.correction({0: 9000}, {0: 10})
+    assert np.isclose(toxicity.correction({0: 9000, 1: 1000}, {0: 500, 1: 500}), np.log(1 / 9))
+    few = toxicity.fit(df, labels, features=0)  # one document, whatever its length
+    assert few.bias == 0.0 or not len(few.places)
 
 
 # 8, 9
@@ -31,10 +33,13 @@ def test_repeated_documents_teach_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     taught = []
-    monkeypatch.setattr(toxicity, "ftrl", lambda rows, y: taught.append([len(rows), sorted(r.tobytes() for r in rows)]) or toxicity.Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0))
+    def learnt(docs):
+        rows = toxicity.samples(docs, labels)[0].collect()
+        taught.append([len(rows), sorted(bytes(r.places) for r in rows)])
+
     monkeypatch.setattr(quality, "boost", lambda x, y: taught.append([len(x), sorted(r.tobytes() for r in x)]))
-    for module in (toxicity, quality):
-        module.fit(df, labels), module.fit(df.repartition(7), labels)
+    for module, fit in ((toxicity, learnt), (quality, lambda docs: quality.fit(docs, labels))):
+        fit(df), fit(df.repartition(7))
         first, again = taught[-2:]
         assert first[0] == labels.where(~module.held_out("doc_id", *((3, 1) if module is toxicity else (4, 2)))).count()
         assert first == again

@@ -40,6 +40,43 @@ def test_topk(spark, n, dim, cell):
     assert index.rows.count() == len(rows)
 
 
+def exact_top(rows, queries, k):
+    """By Python's integers of any size."""
+    whole = [(i, [int(x) * 64 if abs(x) >= 2**53 else int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    out = []
+    for q, vector in whole:
+        if q in queries:
+            found = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in whole if i != q)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1e6, 2.0**24, 2.0**30, 1e200])
+def test_topk_of_large_components(spark, size):
+    """Scores beyond what doubles or longs hold are ranked as integers of any size."""
+    rng = random.Random(5)
+    rows = [(i, [float(round(rng.uniform(0.5, 1) * size)) for _ in range(3)]) for i in range(90)]
+    rows += [(100 + i, [x + (i % 3) / 64 if size < 2**40 else x for x in rows[i][1]]) for i in range(30)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    got = topk.Index(df, shared_dir(spark), 16).top(df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 7)
+    assert sorted(tuple(r) for r in got.collect()) == exact_top(rows, {i for i, _ in rows if i % 20 == 0}, 7)
+
+
+def test_topk_leaves_cells_out(spark):
+    """Where vectors lie in clusters, queries visit few parts, and parts keep their size in hot cells."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 1, (40, 4))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    rows = [(i, (centre[i % 40 if i % 3 else 7] + rng.normal(0, 0.01, 4)).tolist()) for i in range(4000)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).cache()
+    index = topk.Index(df, shared_dir(spark), 64)
+    got = index.top(df.where("vec_id % 200 = 0").withColumnRenamed("vec_id", "query_id"), 5, measure=True)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, {i for i, _ in rows if i % 200 == 0}, 5)
+    assert index.share < 0.4, index.share
+    sizes = [r["count"] for r in index.rows.groupBy("cell", "part").count().collect()]
+    assert max(sizes) < 160 and len(index.cells.pivot) <= topk.PIVOTS * topk.STEPS
+
+
 def test_topk_empty(spark):
     df = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.Index(df, shared_dir(spark)).top(df.withColumnRenamed("vec_id", "query_id")).count() == 0
@@ -57,7 +94,9 @@ def test_topk_bounds():
     order = radius.argsort()
     q = np.floor(rng.normal(0, 30, (40, 3)))
     near = topk.distances(np.column_stack([q, np.zeros(40)]), pivot)[:, 0]
-    a, b, s = topk.search(np.arange(40) + 10_000, q, near, np.full(40, -np.inf), order, x[order], radius[order], most, 5)
+    product = topk.Product(1.0, 3)  # of the scale 2**1
+    scale = product.shift // 2
+    a, b, s = topk.search(product, np.arange(40) + 10_000, q, near / 2**scale, np.full(40, -np.inf), order, x[order], radius[order] / 2**scale, most / 4**scale, 5)
     scores = q @ x.T
     want = [(10_000 + i, int(j), int(scores[i, j])) for i in range(40) for j in np.lexsort((np.arange(2000), -scores[i]))[:5]]
     assert sorted(zip(a.tolist(), b.tolist(), s.tolist())) == sorted(want)
@@ -69,35 +108,110 @@ def duck():
     return duckdb.connect()
 
 
-def test_mixing(spark, edges, docs, nothing, duck):
-    for df in (edges, docs):
-        frame = df.select("doc_id", "text", "source").toPandas()
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        duck.register("documents", frame)
-        want = duck.sql(mixing.SQL).fetchall()
-        got = mixing.Mix(df, block_words=64, shard_blocks=3).documents()
-        rows = [tuple(r) for r in got.collect()]
-        assert sorted(map(str, rows)) == sorted(map(str, want))
-        assert all(r[4] <= 2 * r[1] for r in rows)
-        taken = collections.Counter()
-        for r in rows:
-            taken[r[2], r[3]] += r[4]
-        assert sum(taken.values()) == pytest.approx(1.5 * sum(r[1] for r in rows), abs=len(taken))
-        mixed = mixing.mixed(df)
-        assert mixed.columns == df.columns
-        times = collections.Counter(r.doc_id for r in mixed.select("doc_id").collect())
-        whole = collections.Counter()
-        for r in rows:
-            whole[r[0]] += -(-r[4] // r[1]) if r[1] else 0
-        assert {i: n for i, n in whole.items() if n and i != 5} == {i: n for i, n in times.items() if i != 5}
+def brute_targets(sizes):
+    """target of each source: shares by weight, whatever exceeds its bound fixed there, until none does."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    out, left = {}, 1.5 * sum(sizes.values())
+    todo = set(names)
+    while todo:
+        total = sum(weight[s] for s in todo)
+        full = {s for s in todo if weight[s] * left / total >= 2 * sizes[s]}
+        if not full:
+            return out | {s: weight[s] * left / total for s in todo}
+        out |= {s: 2 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        todo -= full
+    return out
+
+
+def words_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_mixing(spark, edges, docs, nothing):
+    for df, block, shard in ((edges, 64, 3), (docs, 64, 5), (docs, 300, 2)):
+        rows = [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+        sizes = collections.Counter()
+        for _, t, s in rows:
+            sizes[s] += words_of(t)
+        target = brute_targets(sizes)
+        mix = mixing.Mix(df, block, shard)
+        got = [tuple(r) for r in mix.documents().collect()]
+        # every row, with its sizes and its source's target
+        want = [(i, words_of(t), sizes[s]) for i, t, s in rows]
+        assert sorted(str(r[:3]) for r in got) == sorted(map(str, want))
+        near = {round(target[s]) for s in sizes}
+        assert all(min(abs(r[3] - t) for t in near) <= 0.51 and 0 <= r[4] <= 2 * r[1] for r in got)
+        laid = mix.laid.withColumn("s", mixing.F.col("skey")).collect()
+        blocks = mix.blocks.collect()
+        for key in {r.skey for r in laid}:
+            own = sorted((r for r in laid if r.skey == key), key=lambda r: (r.begin, r.size))
+            assert [r.begin for r in own] == np.cumsum([0, *[r.size for r in own]])[:-1].tolist()
+            # the words drawn, by their place in the stream, against what each document is said to give
+            drawn = set()
+            for b in blocks:
+                if b.skey == key:
+                    places = range(b.block * own[0].block_words, b.block * own[0].block_words + b.owed)
+                    assert drawn.isdisjoint(places)
+                    drawn.update(places)
+            name = None if key == "z" else key[1:]
+            assert len(drawn) == int(np.floor(target[name] + 0.5))
+            gives = sorted((r.doc_id or -1, r.size, sum((e * sizes[name] + p) in drawn for e in (0, 1) for p in range(r.begin, r.begin + r.size))) for r in own)
+            said = [(r.doc_id or -1, r.size, r.taken) for r in mix.laid.join(mix.pieces.groupBy("skey", "bucket", "rid").agg(mixing.F.sum("taken").alias("taken")), ["skey", "bucket", "rid"], "left").na.fill(0, ["taken"]).where(mixing.F.col("skey") == key).collect()]
+            assert gives == sorted(said)
+        again = mixing.Mix(df.repartition(7), block, shard).documents()
+        assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in again.collect())
     assert mixing.Mix(nothing).documents().count() == 0 == mixing.mixed(nothing).count()
 
 
+def test_mixing_follows_the_tree(spark, docs, monkeypatch):
+    """What documents give depends on how the tree divides blocks among shards, while sources' totals don't."""
+    taken = lambda: {r.doc_id: r.taken for r in mixing.Mix(docs, 64, 3).documents().collect()}
+    first, split = taken(), mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quotas, pools, shards: split(quotas, pools, 1))
+    other = taken()
+    assert first != other and sum(first.values()) == sum(other.values())
+
+
+def test_mixed_rows(spark, docs, edges):
+    """Every row comes as often as its own first word is drawn, whatever other rows have its id; equal rows together."""
+    base = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()][:120]
+    rows = base + [(base[0][0], "another text " * 30, "xx", base[1][3])] * 1 + [(base[2][0], base[2][1], "yy", base[2][3]), base[3], base[3], (None, "no id " * 20, None, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, taken int").repartition(3)
+    mix = mixing.Mix(df, rows=True)
+    chosen = collections.Counter()
+    for r in mix.pieces.where("lo div block_words = block").select(*mixing.PRINTS).collect():
+        chosen[tuple(r)] += 1
+    prints = {tuple(r)[:5]: tuple(r)[5:] for r in df.select("*", *mixing.fingerprint(df)).collect()}
+    want = collections.Counter({row: chosen[p] for row, p in prints.items() if chosen[p]})
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and collections.Counter(tuple(r) for r in got.collect()) == want
+    assert len(set(prints.values())) == len(set(rows))
+    monkey = [(1, "x y z", "a"), (1, "x y z", "b")]
+    small = spark.createDataFrame([(i, t, "en", s) for i, t, s in monkey], "doc_id long, text string, lang string, source string")
+    assert {r.source for r in mixing.mixed(small).collect()} <= {"a", "b"}
+
+
 def test_splitting_tree():
-    quotas = np.array([100, 1, 0, 37])
-    plan = mixing.split(quotas, 7)
-    assert plan.sum(0).tolist() == quotas.tolist() and set(plan.sum(1).tolist()) <= {19, 20}
-    assert np.array_equal(plan, mixing.split(quotas, 7)) and (plan >= 0).all()
+    quotas, pools = np.array([100, 1, 0, 37, 20]), np.array([150, 3, 5, 37, 400])
+    shard, source, begin, count = mixing.split(quotas, pools, 7)
+    per = np.bincount(source, count, 5)
+    assert per.tolist() == quotas.tolist() and set(np.bincount(shard, count, 7).tolist()) <= {22, 23}
+    for s in range(5):
+        held = [p for b, c in zip(begin[source == s].tolist(), count[source == s].tolist()) for p in range(b, b + c)]
+        assert len(set(held)) == len(held) == quotas[s] and all(0 <= p < pools[s] for p in held)
+    assert all(np.array_equal(a, b) for a, b in zip((shard, source, begin, count), mixing.split(quotas, pools, 7)))
+    assert [len(x) for x in mixing.split(np.zeros(3, int), np.ones(3, int), 2)] == [0, 0, 0, 0]
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    rows = [(i, "a b c d", f"s{i % 50}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sum(r.taken for r in mixing.Mix(df, 4, 2).documents().collect()) == pytest.approx(1200, abs=50)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 40)
+    with pytest.raises(ValueError, match="over 40 sources"):
+        mixing.Mix(df)
 
 
 def test_targets_cap(spark):

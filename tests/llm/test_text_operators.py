@@ -85,10 +85,23 @@ def test_exact_dedup(edges, docs, nothing):
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in exact_dedup.classes(df).collect())
         kept = exact_dedup.keep(df)
         assert kept.columns == df.columns
-        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[3] or w[0] is None)
+        stays = {(w[0], norm(t)) for w, (_, t) in zip(want, rows) if w[3]}
+        assert sorted(str((r.doc_id, norm(r.text or ""))) for r in kept.collect()) == sorted([*map(str, stays), *[str((None, norm(t))) for i, t in rows if i is None]])
     assert exact_dedup.classes(nothing).count() == 0 == exact_dedup.keep(nothing).count()
 
 
+def test_exact_keep_by_rows(spark):
+    """A row goes for its own text; rows of one id and text give one, and other rows of the id don't matter."""
+    rows = [(1, "a", 1), (2, "b", 2), (2, "a", 3), (3, "c", 4), (3, "c ", 5), (3, "c", 4), (4, "c", 6), (5, "b", 7), (5, "d", 8), (None, "a", 9)]
+    df = spark.createDataFrame([(i, t, k, {"k": str(k)}) for i, t, k in rows], "doc_id long, text string, kept int, _h map<string,string>").repartition(3)
+    got = exact_dedup.keep(df)
+    assert got.columns == df.columns
+    found = sorted((str(r.doc_id), r.text) for r in got.collect())
+    assert found == sorted([("1", "a"), ("2", "b"), ("3", "c"), ("3", "c "), ("5", "d"), ("None", "a")])
+    long = spark.createDataFrame([(1, "x" * 2_000_000), (2, "x" * 2_000_000), (3, "x" * 1_999_999 + "y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.classes(long).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_hot_groups(spark, monkeypatch):
     """A group over the broadcast threshold, and others, give the same rows."""
     monkeypatch.setattr("rillet.llm.common.HOT", 3)
@@ -106,12 +119,14 @@ def test_licenses(edges, docs, nothing):
             w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
             hits = [(k, label) for p, label in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
             labels, best = {label for _, label in hits}, 1.0 if hits else 0.0
-            for b in range(0, max(len(w), 1), 48):
-                if b and b + 48 >= len(w):
-                    break
-                held = set(w[b : b + 96])
-                for label, text in licenses.TEMPLATES:
-                    share = len(held & set(text.split())) / len(set(text.split()))
+            for label, text in licenses.TEMPLATES:
+                half = 48
+                while half < len(text.split()):
+                    half *= 2
+                for b in range(0, max(len(w), 1), half):
+                    if b and b + half >= len(w):
+                        break
+                    share = len(set(w[b : b + 2 * half]) & set(text.split())) / len(set(text.split()))
                     if share >= licenses.THRESHOLD - 1e-9:
                         labels.add(label)
                         best = max(best, share)
@@ -131,10 +146,25 @@ def test_license_filters_lose_nothing():
         words = rng.choices(vocabulary, k=rng.randint(0, 40))
         h = licenses.hashes(" ".join(words)) if words else np.empty(0, np.uint64)
         got = {(b, k) for _, b, _, k, _ in scanner.matches(h, np.array([0, len(words)]))}
-        want = {(b, k) for b in range(0, len(words), 8) if not b or b + 8 < len(words) for k, (_, t) in enumerate(templates) if len(set(t.split()) & set(words[b : b + 16])) >= 0.7 * len(set(t.split())) - 1e-9}
+        want = {(b, k) for b in range(0, len(words), 8) if not b or b + 8 < len(words) for k, t in templates if len(set(t.split()) & set(words[b : b + 16])) >= 0.7 * len(set(t.split())) - 1e-9}
         assert got == want
 
 
+def test_whole_licences(spark):
+    """Templates longer than half a usual block are found whole, in a long text and with some words changed."""
+    filler = " ".join(f"f{k}" for k in range(5000))
+    rows = [(1, licenses.MIT), (2, f"{filler} {licenses.MIT.upper()} {filler}"), (3, " ".join("zzz" if k % 9 == 0 else w for k, w in enumerate(licenses.BSD2.split()))), (4, filler), (5, " ".join(licenses.MIT.split()[:60]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(df, licenses.Scanner(licenses.frequencies(df))).collect()}
+    assert "mit-full" in got[1] & got[2] and "bsd-full" in got[3] and got[4] == {""} and "mit-full" not in got[5]
+    alone = licenses.Scanner({}, [("mine", licenses.MIT)])
+    assert [m[3] for m in alone.matches(licenses.hashes(licenses.MIT), np.array([0, len(licenses.MIT.split())]))] == ["mine"]
+    huge = " ".join(f"t{k}" for k in range(3000))
+    assert licenses.Scanner({}, [("huge", huge)]).matches(licenses.hashes(f"{filler} {huge}"), np.array([0, 8000]))
+    with pytest.raises(ValueError, match="no words"):
+        licenses.Scanner({}, [("none", "...")])
+
+
 # 8, 9
 def labelled(spark, n=240):
     rng, rows, labels = random.Random(2), [], []
@@ -236,10 +266,22 @@ def test_token_shards(spark, edges, docs, nothing):
     assert empty.count() == 0 == token_shards.read(empty).count()
 
 
-def test_shard_access(spark, docs):
+def test_shard_access(spark, docs, monkeypatch):
     path = token_shards.write(docs.limit(50), shared_dir(spark), WORDS, 2).first().path
     shard = token_shards.Shard(path)
     assert len(shard) > 0 and shard[3][-1] == 2 and len(shard[3]) == shard.index["n"][3]
+    for window in (1, 3000, 1 << 20):
+        assert [x.tolist() for x in shard.documents(window)] == [shard[k].tolist() for k in range(len(shard))]
+
+    class Watched:
+        read = []
+
+        def read_at(self, n, at):
+            self.read.append(n)
+            return shard_file.read_at(n, at)
+
+    shard_file, shard.file = shard.file, Watched()
+    assert shard[5][-1] == 2 and Watched.read == [int(shard.index["size"][5])]  # one frame, not the body
     broken = open(path.removeprefix("file://"), "rb").read()[:-1]
     cut = path.removeprefix("file://") + ".cut"
     open(cut, "wb").write(broken)
@@ -247,6 +289,31 @@ def test_shard_access(spark, docs):
         token_shards.Shard(cut)
 
 
+def test_shards_of_one_id(spark):
+    """Rows of one id are divided among tasks and shards, in the order that starts have."""
+    rows = [(7, f"text number {i} " * (i % 9)) for i in range(300)] + [(3, "before"), (9, "after")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_shards.write(df, shared_dir(spark), WORDS, 2, 1500)
+    found = manifest.collect()
+    assert len({r.task for r in found}) > 1 and len(found) > 4 and sum(r.n_docs for r in found) == len(rows)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_shards.read(manifest).collect())
+    library = Tokenizer.from_file(WORDS)
+    want = []
+    for i, t in rows:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(r[1:] for r in got) == sorted(want) and [r[1] for r in got] == sorted(r[1] for r in got)
+    assert [r[0] for r in got] == np.cumsum([0, *[r[2] for r in got]])[:-1].tolist()
+
+
+def test_dictionary_of_few_samples(spark, docs):
+    """Too few documents to train on are the dictionary themselves."""
+    few = token_shards.train(docs.limit(5), WORDS, 2)
+    assert few and len(few) <= token_shards.DICTIONARY_BYTES and token_shards.train(docs.where("false"), WORDS, 2) == b""
+    manifest = token_shards.write(docs.limit(5), shared_dir(spark), WORDS, 2)
+    assert token_shards.read(manifest).count() == 5
+
+
 def test_word_coder_limits(monkeypatch):
     monkeypatch.setattr(token_shards, "WORDS", 3)
     monkeypatch.setattr(token_shards, "PARTS", 3)
