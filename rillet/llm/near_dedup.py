@@ -345,12 +345,16 @@ def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = cut(features(docs), folder, "features")
     real = rows.where("n > 0 and doc_id is not null")
     reps = cut(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("regs").alias("regs")), folder, "reps")
-    banded = reps.where("n > 3").select("rep", F.posexplode("regs").alias("band", "key"))
+    banded = reps.where("n > 3").select("rep", F.posexplode("regs").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
+    # buckets of one member are counted by a hash and left out before anything else is shuffled
+    several = cut(banded.groupBy("bucket").count().where("count > 1").select("bucket"), folder, "several")
+    held = cut(marked(banded, "bucket", several).where("_in").select("rep", "band", "key"), folder, "banded")
     # buckets of the same members are compared once
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("y")).where("m > 1")
+    shared = held.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("y")).where("m > 1")
     buckets = shared.groupBy("m", "lo", "x", "y").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "m", "lo")
-    members = banded.join(cut(buckets, folder, "buckets"), ["band", "key"])
-    members = cut(members.join(reps.select("rep", "n", "regs"), "rep"), folder, "members")
+    members = cut(held.join(cut(buckets, folder, "buckets"), ["band", "key"]), folder, "placed")
+    known = marked(reps.select("rep", "n", "regs"), "rep", members.select("rep").distinct()).where("_in").drop("_in")
+    members = cut(members.join(known, "rep"), folder, "members")
     compared = divided(members, limit)
     first = cut(propose(compared), folder, "first")
     texts = cut(texts_of(docs, first), folder, "texts")
