@@ -4,16 +4,20 @@ Features are the distinct words, pairs of neighbours and pairs with one word
 between them (skip-grams), lower-cased in ASCII and hashed to 2**BITS places;
 words are runs of letters, digits and other characters, so punctuation never
 hides one. A longer word also counts by its first ``STEMS`` bytes, which stand
-for its inflected forms. Learning keeps a rate for every coordinate and an L1 penalty, which
-leaves few weights; only those travel to the executors.
+for its inflected forms; a word or stem that a text has ``REPEATS`` times is one
+feature more. Learning keeps a rate for every coordinate and an L1 penalty on all
+but the intercept, which leaves few weights; only those travel to the executors.
 
 The fit uses at most ``ROWS`` labelled documents of each class, those with the
-smallest hash of doc_id. Where the bound changes the classes' shares, the
-intercept gives it back, so scores hold for the shares of all labels. Scores are computed for all rows and whole
-texts; null and empty texts score the intercept. Labels that are null or
-without a document teach nothing; for several labels of one document the
-highest counts, and of several texts the one with the smallest hash teaches;
-with no labels at all every score is 0.5. Repeated rows and ids are scored one by one. Columns pass through ``scored``, but one of the score's name is replaced.
+smallest hash of doc_id, and ``FEATURES`` features, in one task. Where the bounds
+change the classes' shares, the intercept gives it back, so scores hold for the
+shares of all labels. Scores are computed for all rows and whole texts; null and
+empty texts score the intercept, texts of any length their features. Labels that
+are null or without a document teach nothing; for several labels of one document
+the highest counts, and of several texts the one with the smallest hash teaches;
+with no labels at all, or empty tables, every score is 0.5. Repeated rows and ids
+are scored one by one. Columns pass through ``scored``, but one of the score's
+name is replaced.
 """
 
 from __future__ import annotations
@@ -30,27 +34,48 @@ from rillet.llm.common import Smallest, held_out, one_each, small_batches
 from rillet.llm.textscan import ALNUM, Words, buffers, mix, pieces
 
 BITS = 20
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+REPEATS = 3
 #: The most labelled documents of a class on which the model is fitted.
 ROWS = 4000
 #: The most features, of all its documents together, from which the model learns; they are taken in the order of the documents' hashes.
 FEATURES = 1 << 25
-ALPHA, BETA, L1, L2, ROUNDS = 1.0, 1.0, 3.0, 0.0, 5
+ALPHA, BETA, L1, L2, ROUNDS = 2.0, 1.0, 5.0, 0.0, 10
 THRESHOLD = 0.7
 
 
-def grams(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and hashed place of each word, stem, pair and skip-gram."""
+def grams(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Row and hashed place of each word, stem, pair and skip-gram; and whether repeats count."""
     h, row = words.hashes(), words.rows()
-    yield row, (h >> np.uint64(64 - BITS)).astype(np.int32)
+    yield row, (h >> np.uint64(64 - BITS)).astype(np.int32), True
     for size in STEMS:
         at = np.flatnonzero(words.end - words.start > size)
         stem = mix(words.spans(words.start[at], words.start[at] + size) + np.uint64(size))
-        yield row[at], (stem >> np.uint64(64 - BITS)).astype(np.int32)
+        yield row[at], (stem >> np.uint64(64 - BITS)).astype(np.int32), True
     for gap in (1, 2):
         at = words.pairs(gap)
         both = mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + gap] + np.uint64(gap))
-        yield row[at], (both >> np.uint64(64 - BITS)).astype(np.int32)
+        yield row[at], (both >> np.uint64(64 - BITS)).astype(np.int32), False
+
+
+AGAIN = (mix(np.arange(1 << BITS, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def keys(words: Words, weights: np.ndarray | None = None) -> np.ndarray:
+    """The distinct features of all rows, (row << BITS) | place in order; with ``weights``, only those that have one."""
+    found = [np.empty(0, np.int64)]
+    for row, place, counted in grams(words):
+        for at, least in ((place, 1), (AGAIN[place], REPEATS))[: 1 + counted]:
+            own = row
+            if weights is not None:
+                hit = np.flatnonzero(weights[at])
+                own, at = row[hit], at[hit]
+            key = (own.astype(np.int64) << BITS) | at
+            if least > 1:
+                key, times = np.unique(key, return_counts=True)
+                key = key[times >= least]
+            found.append(key)
+    return np.unique(np.concatenate(found))
 
 
 class Model:
@@ -66,11 +91,7 @@ class Model:
         data, offsets = buffers(column)
         out = np.full(len(offsets) - 1, self.bias)
         for i, j, body, at in pieces(data, offsets):
-            keys = []
-            for row, place in grams(Words(body, at, ALNUM)):
-                hit = np.flatnonzero(dense[place])
-                keys.append((row[hit].astype(np.int64) << BITS) | place[hit])
-            key = np.unique(np.concatenate(keys))
+            key = keys(Words(body, at, ALNUM), dense)
             out[i:j] += np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], j - i)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -81,9 +102,9 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     rng = np.random.default_rng(7)
 
     def weights(at):
-        zi = z[at]
-        w = (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where((np.abs(zi) <= L1) & (at != 1 << BITS), 0.0, w)
+        zi, penalty = z[at], np.where(at == 1 << BITS, 0.0, L1)
+        w = (np.sign(zi) * penalty - zi) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+        return np.where(np.abs(zi) <= penalty, 0.0, w)
 
     for _ in range(ROUNDS):
         for k in rng.permutation(len(rows)):
@@ -122,10 +143,7 @@ def samples(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, r
             data, offsets = buffers(batch.column(1))
             out = []
             for i, j, body, at in pieces(data, offsets):
-                found = [np.empty(0, np.int64)]
-                for row, place in grams(Words(body, at, ALNUM)):
-                    found.append((row.astype(np.int64) << BITS) | place)
-                key = np.unique(np.concatenate(found))
+                key = keys(Words(body, at, ALNUM))
                 cut = np.searchsorted(key, np.arange(j - i + 1) << BITS)
                 flat = (key & ((1 << BITS) - 1)).astype(np.int32)
                 out += [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
