@@ -1,8 +1,8 @@
 """Scalar functions for plugins and queries: strings as bytes, doubles, UTC times, arrays.
 
 Everything is a Catalyst expression but what Spark has no equal of: exact
-number text, C's %g, erf, frexp, and captures with positions, which are
-Arrow-batched functions.
+number text, C's %g, erf, frexp, and patterns with positions, balances or
+limits, which are Arrow-batched functions. Null gives null.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rillet.functions import luapattern
+from rillet.functions import capture, luapattern
 
 _ALPHA = (_string.ascii_uppercase, _string.ascii_lowercase)
 
@@ -30,7 +30,7 @@ def sub(s: Column, i: int, j: int = -1) -> Column:
     n = F.octet_length(s)
     a = F.lit(i) if i > 0 else F.greatest(n + i + 1, F.lit(1)) if i < 0 else F.lit(1)
     b = F.least(F.lit(j), n) if j >= 0 else n + j + 1
-    return F.decode(F.substring(s.cast("binary"), a, F.greatest(b - a + 1, F.lit(0))), "UTF-8")
+    return F.substring(s.cast("binary"), a, F.greatest(b - a + 1, F.lit(0))).cast("string")
 
 
 def upper(s: Column) -> Column:
@@ -46,13 +46,20 @@ def rep(s: Column, n: int) -> Column:
 
 
 def reverse(s: Column) -> Column:
-    return F.reverse(s)
+    """The bytes in reverse order, whatever characters they were part of."""
+    return F.unhex(F.regexp_replace(F.reverse(F.hex(s.cast("binary"))), "(.)(.)", "$2$1")).cast("string")
 
 
 def byte(s: Column, i: int = 1) -> Column:
     """The i-th byte as a number, null beyond the ends."""
     two = F.hex(F.substring(s.cast("binary"), i, 1))
-    return F.when(two != "", F.conv(two, 16, 10).cast("int"))
+    return F.when((two != "") & F.lit(i != 0), F.conv(two, 16, 10).cast("int"))
+
+
+def byte_range(s: Column, i: int = 1, j: int | None = None) -> Column:
+    """Bytes i to j as an array of numbers; bounds are clamped as in ``sub``."""
+    pairs = F.regexp_extract_all(F.hex(sub(s, i, i if j is None else j).cast("binary")), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda two: F.conv(two, 16, 10).cast("int"))
 
 
 def char(*codes: Column) -> Column:
@@ -117,8 +124,56 @@ def _java(pattern: str, keep_anchor: bool = True) -> str:
     return "".join(out)
 
 
-def match(s: Column, pattern: str, group: int | None = None) -> Column:
-    """A capture, or the whole match where there are none; null for no match."""
+def _text(value) -> str:
+    return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
+
+
+def _batched(kind: str, function):
+    """An Arrow-batched function of the bytes of a text; null for null."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else function(v.encode()) for v in values], dtype=object)
+
+    return run
+
+
+def _special(pattern: str) -> bool:
+    """Whether a pattern has position captures or balances, which no column form has."""
+    bare = re.sub("%[^b]", "", re.sub(r"\[\^?\]?(?:%.|[^\]])*\]", "", pattern, flags=re.S), flags=re.S)
+    return "()" in bare or "%b" in bare
+
+
+def find(s: Column, pattern: str, init: int = 1, plain: bool = False) -> Column:
+    """first and last (bytes, from 1), and captures as text, positions as numbers; null for no match."""
+    raw = pattern.encode()
+    plain or capture.compiled(raw)  # a bad pattern fails at once
+
+    @F.pandas_udf("struct<first:int,last:int,captures:array<string>>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        found = [None if v is None else capture.find(v.encode(), raw, init, plain) for v in values]
+        rows = [(None, None, None) if f is None else (f[0], f[1], list(map(_text, f[2]))) for f in found]
+        return pd.DataFrame(rows, columns=["first", "last", "captures"]).astype({"first": "Int32", "last": "Int32"})
+
+    got = run(s)
+    return F.when(got["first"].isNotNull(), got)
+
+
+def match(s: Column, pattern: str, group: int | None = None, init: int = 1) -> Column:
+    """A capture, or the whole match where there are none; null for no match.
+
+    Patterns with positions or balances, and places to begin at, take a batched
+    function; other patterns are regular expressions over characters.
+    """
+    if init != 1 or _special(pattern):
+        raw = pattern.encode()
+        capture.compiled(raw)
+
+        def one(v):
+            got = capture.match(v, raw, init)
+            return None if got is None else _text(got[(group or 1) - 1])
+
+        return _batched("string", one)(s)
     regex = _java(pattern)
     group = (1 if re.search(r"(?<!\\)\((?!\?)", regex) else 0) if group is None else group
     return F.when(s.rlike(regex), F.regexp_extract(s, regex, group))
@@ -126,31 +181,47 @@ def match(s: Column, pattern: str, group: int | None = None) -> Column:
 
 def gmatch(s: Column, pattern: str, group: int | None = None) -> Column:
     """All matches; ^ has no meaning of its own here."""
+    if _special(pattern):
+        raw = pattern.encode()
+        return _batched("array<string>", lambda v: [_text(m[(group or 1) - 1]) for m in capture.gmatch(v, raw)])(s)
     regex = _java(pattern, keep_anchor=False)
     group = (1 if re.search(r"(?<!\\)\((?!\?)", regex) else 0) if group is None else group
     return F.regexp_extract_all(s, F.lit(regex), F.lit(group))
 
 
-def gsub(s: Column, pattern: str, replacement: str) -> Column:
-    """All matches replaced; %0 to %9 stand for captures."""
+def gmatch_all(s: Column, pattern: str) -> Column:
+    """All captures of all matches, an array for each match."""
+    raw = pattern.encode()
+    capture.compiled(raw)
+    return _batched("array<array<string>>", lambda v: [list(map(_text, m)) for m in capture.gmatch(v, raw)])(s)
+
+
+def gsub(s: Column, pattern: str, replacement, most: int | None = None) -> Column:
+    """At most ``most`` matches replaced, all by default; %0 to %9 stand for captures.
+
+    The replacement may also be a dict, looked up by the first capture, or a
+    function of the captures (bytes, and numbers for positions); what they have
+    no answer for stays.
+    """
+    if not isinstance(replacement, str) or most is not None or _special(pattern):
+        raw = pattern.encode()
+        capture.compiled(raw)
+        new = {k.encode() if isinstance(k, str) else k: v for k, v in replacement.items()} if isinstance(replacement, dict) else replacement.encode() if isinstance(replacement, str) else replacement
+        return _batched("string", lambda v: _text(capture.gsub(v, raw, new, most)[0]))(s)
     java = re.sub(r"%(\d)|%(.)|([\\$])", lambda m: f"${m[1]}" if m[1] else m[2] if m[2] else "\\" + m[3], replacement)
     return F.regexp_replace(s, F.lit(_java(pattern)), F.lit(java))
 
 
 def gsub_count(s: Column, pattern: str) -> Column:
+    if _special(pattern):
+        raw = pattern.encode()
+        return _batched("int", lambda v: capture.gsub(v, raw, b"")[1])(s)
     return F.regexp_count(s, F.lit(_java(pattern)))
 
 
 def gsub_table(s: Column, pattern: str, table: dict[str, str], most: int | None = None) -> Column:
     """Matches replaced by their entry in ``table``; those without one stay."""
-    regex = re.compile(_java(pattern).replace("\\z", "\\Z").replace("\\x{10ffff}", "\U0010ffff").replace("\\x{100}", "\u0100"))
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        change = lambda m: table.get(m[1] if regex.groups else m[0], m[0])
-        return values.map(lambda v: None if v is None else regex.sub(change, v, most or 0))
-
-    return run(s)
+    return gsub(s, pattern, table, most)
 
 
 def format(fmt: str, *args: Column) -> Column:  # noqa: A001
@@ -160,23 +231,22 @@ def format(fmt: str, *args: Column) -> Column:  # noqa: A001
         raise ValueError("invalid option to 'format'")
     kinds = [s for s in specs if s != "%"]
 
+    plain = re.sub(r"%q", "%s", re.sub(r"(%[-+ #0]*\d*(?:\.\d*)?)c", r"\1s", fmt))
+
+    def value(text: str, kind: str):
+        """From a number's text, for pandas has no whole numbers beside nulls."""
+        if kind in "cdiouxX":
+            v = int(text) if re.fullmatch(r"-?\d+", text) else int(float(text))
+            return chr(v) if kind == "c" else v & (1 << 64) - 1 if kind in "ouxX" else v
+        if kind == "q":
+            return '"' + re.sub(r'["\\\n]', lambda m: "\\" + m[0], text).replace("\r", "\\r").replace("\0", "\\000") + '"'
+        return float(text) if kind in "eEfgG" else text
+
     @F.pandas_udf("string")
     def run(*columns: pd.Series) -> pd.Series:
-        def one(row):
-            values = []
-            for v, k in zip(row, kinds):
-                if k in "cdiouxX":
-                    v = int(v)
-                    values.append(chr(v) if k == "c" else v & (1 << 64) - 1 if k in "ouxX" else v)
-                elif k == "q":
-                    values.append('"' + re.sub(r'["\\\n]', lambda m: "\\" + m[0], v).replace("\r", "\\r").replace("\0", "\\000") + '"')
-                else:
-                    values.append(float(v) if k in "eEfgG" else v)
-            return re.sub(r"%q", "%s", re.sub(r"(%[-+ #0]*\d*(?:\.\d*)?)c", r"\1s", fmt)) % tuple(values)
-
-        return pd.Series([None if any(v is None for v in row) else one(row) for row in zip(*columns)])
+        return pd.Series([None if any(v is None for v in row) else plain % tuple(map(value, row, kinds)) for row in zip(*columns)], dtype=object)
 
-    return run(*args) if args else F.lit(fmt.replace("%%", "%"))
+    return run(*[a.cast("string") for a in args]) if args else F.lit(fmt.replace("%%", "%"))
 
 
 # mathematics: doubles in, doubles out, with C's answers at the edges
@@ -224,9 +294,18 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def modf(x: Column) -> Column:
-    """A struct of the whole and the fractional part."""
+    """A struct of the whole and the fractional part; the fraction of an infinity is 0. Null for null."""
+    x = x.cast("double")
     whole = F.when(x >= 0, math_function("floor", x)).otherwise(math_function("ceil", x))
-    return F.struct(whole.alias("whole"), (x - whole).alias("fraction"))
+    return F.when(x.isNotNull(), F.struct(whole.alias("whole"), F.when(F.abs(x) == float("inf"), F.lit(0.0)).otherwise(x - whole).alias("fraction")))
+
+
+def huge() -> Column:
+    return F.lit(float("inf"))
+
+
+def pi() -> Column:
+    return F.lit(math.pi)
 
 
 def ldexp(x: Column, e: Column) -> Column:
@@ -234,11 +313,13 @@ def ldexp(x: Column, e: Column) -> Column:
 
 
 def _vectorised(function, kind: str):
+    """A function of doubles, NaN among them; null gives null."""
+
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
-        return values.map(function, na_action="ignore")
+        return values.map(function)
 
-    return run
+    return lambda x: F.when(x.isNotNull(), run(x))
 
 
 def erf(x: Column) -> Column:
@@ -254,7 +335,7 @@ def frexp(x: Column) -> Column:
     def run(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([math.frexp(v) for v in values], columns=["mantissa", "exponent"])
 
-    return run(x)
+    return F.when(x.isNotNull(), run(x.cast("double")))
 
 
 def random(low: int | None = None, high: int | None = None, seed: int | None = None) -> Column:
@@ -270,34 +351,56 @@ def random(low: int | None = None, high: int | None = None, seed: int | None = N
 
 def next_power_of_two(x: Column) -> Column:
     """The least power of two that isn't smaller; 0 for 0."""
-    return F.when(x <= 0, F.lit(0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(x.cast("double")))).cast("long"))
+    bits = F.when(x == 1, F.lit(0)).otherwise(F.length(F.bin(x.cast("long") - 1)))
+    return F.when(x <= 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits))
 
 
 # dates, always UTC
-_STRFTIME = {"a": "EEE", "A": "EEEE", "b": "MMM", "B": "MMMM", "d": "dd", "H": "HH", "I": "hh", "j": "DDD", "m": "MM", "M": "mm", "p": "a", "S": "ss", "y": "yy", "Y": "yyyy", "D": "MM/dd/yy", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "e": "ppd", "h": "MMM", "x": "MM/dd/yy", "X": "HH:mm:ss", "c": "EEE MMM ppd HH:mm:ss yyyy"}
+_STRFTIME = {
+    "a": "EEE", "A": "EEEE", "b": "MMM", "B": "MMMM", "d": "dd", "H": "HH", "I": "hh", "j": "DDD", "m": "MM", "M": "mm", "p": "a", "S": "ss", "y": "yy", "Y": "yyyy",
+    "D": "MM/dd/yy", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "h": "MMM", "x": "MM/dd/yy", "X": "HH:mm:ss", "r": "hh:mm:ss a",
+}
+
+
+def _specifier(spec: str, t: Column, seconds: Column) -> Column:
+    """What a formatter's pattern can't express."""
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    day, sunday = F.dayofyear(t) - 1, F.dayofweek(t) - 1
+    monday = F.pmod(sunday + 6, F.lit(7))
+    year = F.expr("1") * F.year(t)
+    iso = F.year(F.date_add(t.cast("date"), 3 - monday))  # the year of the week's Thursday
+    known = {
+        "e": lambda: F.lpad(F.dayofmonth(t).cast("string"), 2, " "), "C": lambda: two(F.floor(year / 100)), "u": lambda: (monday + 1).cast("string"), "w": lambda: sunday.cast("string"),
+        "U": lambda: two(F.floor((day + 7 - sunday) / 7)), "W": lambda: two(F.floor((day + 7 - monday) / 7)), "V": lambda: two(F.weekofyear(t)), "G": lambda: iso.cast("string"), "g": lambda: two(iso % 100),
+        "z": lambda: F.lit("+0000"), "Z": lambda: F.lit("UTC"), "s": lambda: F.floor(seconds).cast("long").cast("string"), "n": lambda: F.lit("\n"), "t": lambda: F.lit("\t"), "%": lambda: F.lit("%"),
+        "c": lambda: F.concat(F.date_format(t, "EEE MMM "), F.lpad(F.dayofmonth(t).cast("string"), 2, " "), F.date_format(t, " HH:mm:ss yyyy")),
+    }
+    if spec not in known:
+        raise ValueError(f"invalid conversion specifier '%{spec}'")
+    return known[spec]()
 
 
 def date(fmt: str, seconds: Column) -> Column:
     """strftime of a time in seconds."""
-    out, fmt = [], fmt.removeprefix("!")
-    for literal, spec in re.findall(r"([^%]+)|%(.)", fmt):
-        if literal:
-            out.append("'" + literal.replace("'", "''") + "'")
-        elif spec in "nt%":
-            out.append({"n": "'\n'", "t": "'\t'", "%": "'%'"}[spec])
-        elif spec in _STRFTIME:
-            out.append(_STRFTIME[spec])
-        else:
-            raise ValueError(f"invalid conversion specifier '%{spec}'")
-    pattern = "".join(out).replace("pp", "")
-    return F.date_format(F.timestamp_seconds(seconds), pattern)
+    fmt = fmt.removeprefix("!")
+    t, out = F.timestamp_seconds(seconds), []
+    if re.sub(r"%.", "", fmt, flags=re.S).endswith("%"):
+        raise ValueError("invalid conversion specifier '%'")
+    for literal, spec in re.findall(r"([^%]+)|%(.)", fmt, flags=re.S):
+        out.append(F.lit(literal) if literal else F.date_format(t, _STRFTIME[spec]) if spec in _STRFTIME else _specifier(spec, t, seconds))
+    return F.when(seconds.isNotNull(), F.concat(*out)) if out else F.when(seconds.isNotNull(), F.lit(""))
+
+
+def difftime(later: Column, earlier: Column) -> Column:
+    """Seconds between two times, as a double."""
+    return (later - earlier).cast("double")
 
 
 def date_table(seconds: Column) -> Column:
-    """The parts of a time: year, month, day, hour, min, sec, wday (from Sunday, 1), yday."""
+    """The parts of a time: year, month, day, hour, min, sec, wday (from Sunday, 1), yday, and isdst, which UTC never is."""
     t = F.timestamp_seconds(seconds)
     parts = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "min": F.minute, "sec": F.second, "wday": F.dayofweek, "yday": F.dayofyear}
-    return F.struct(*[fn(t).cast("int").alias(n) for n, fn in parts.items()])
+    return F.struct(*[fn(t).cast("int").alias(n) for n, fn in parts.items()], F.lit(False).alias("isdst"))
 
 
 def time(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, sec: Column | None = None) -> Column:
@@ -324,7 +427,10 @@ def remove(t: Column, at: int | None = None) -> Column:
     return F.filter(t, lambda x, k: k + 1 != place)
 
 
-def sort(t: Column, descending: bool = False) -> Column:
+def sort(t: Column, descending: bool = False, less=None) -> Column:
+    """An array in order; ``less`` is a function of two elements' columns that tells whether the first comes first."""
+    if less is not None:
+        return F.array_sort(t, lambda x, y: F.when(less(x, y), -1).when(less(y, x), 1).otherwise(0))
     return F.sort_array(t, not descending)
 
 

@@ -3,6 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rillet.functions import capture
 from rillet.functions import scalar as fn
 from rillet.operators import accessors, stats
 
@@ -60,3 +64,44 @@ def test_accessors(spark):
     assert row[0].isdigit() and row[1] is None and row[2] > 0 and row[3] == "anniltrue1.2".replace("ann", "an")
     with pytest.raises(Exception, match="output_limit"):
         e.select(accessors.output(F.lit("abc"), limit=2)).collect()
+
+
+@pytest.mark.parametrize("s, pattern, init, want", [
+    ("hello world", "o w", 1, (5, 7, [])), ("hello", "l+", -3, (3, 4, [])), ("key = val", "(%w+)%s*=%s*(%w+)", 1, (1, 9, [b"key", b"val"])), ("abc", "()b()", 1, (2, 2, [2, 3])), ("aXb", "^X", 2, (2, 2, [])),
+    ("f(a(b)c)d", "%b()", 1, (2, 8, [])), ("x(a)(b)", "(%b())$", 1, (5, 7, [b"(b)"])), ("THE (quick) fox", "%f[%a]%a+%f[%A]", 6, (6, 10, [])), ("abab", "(ab)%1", 1, (1, 4, [b"ab"])), ("abc", "d", 1, None), ("", "", 1, (1, 0, [])), ("a.b", "%.", 1, (2, 2, [])), ("aé", "..$", 1, (2, 3, [])), ("(a", "%b()", 1, None), ("xyz", "((x)(y))z", 1, (1, 3, [b"xy", b"x", b"y"])), ("aaa", "a-$", 1, (1, 3, [])),
+])
+def test_find(s, pattern, init, want):
+    assert capture.find(s.encode(), pattern.encode(), init) == want
+
+
+def test_substitution():
+    sub = lambda *a: capture.gsub(*[x.encode() if isinstance(x, str) else x for x in a])
+    assert sub("hello world", "o", "0", 1) == (b"hell0 world", 1) and sub("abc", "%w", "%0%0") == (b"aabbcc", 3) and sub("hello world", "%w*", "x") == (b"xx xx", 4)
+    assert sub("aaa", "^a", "Z") == (b"Zaa", 1) and sub("$name is $age", "%$(%w+)", {b"name": "Bo", b"age": 4}) == (b"Bo is 4", 2) and sub("a1b2", "%d", lambda d: int(d) * 2) == (b"a2b4", 2)
+    assert sub("(x)(y)", "%b()", "[%0]") == (b"[(x)][(y)]", 2) and sub("ab", "", "-") == (b"-a-b-", 3) and sub("ab", "(a)()", "%2%1") == (b"2ab", 1) and sub("ab", "a", lambda a: None) == (b"ab", 1)
+    assert list(capture.gmatch(b"k1=v1, k2=v2", b"(%w+)=(%w+)")) == [[b"k1", b"v1"], [b"k2", b"v2"]] and list(capture.gmatch(b"^a", b"^a")) == [[b"^a"]]
+    for bad in ("(", ")", "%", "[a", "%1", "%b", "%fa"):
+        with pytest.raises(capture.PatternError):
+            capture.compiled(bad.encode())
+    with pytest.raises(capture.PatternError):
+        sub("a", "a", "%3")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", ".", "%d", "[ab]", "[^a]", "%s", "x"]).flatmap(lambda c: st.sampled_from([c, c + "*", c + "-", c + "+", c + "?"])), max_size=4), st.text("ab1 x", max_size=8))
+def test_closures_and_expressions_agree(parts, subject):
+    """The two ways of matching give the same places."""
+    pattern = "".join(parts)
+    one = capture.Pattern(pattern.encode())
+    other = capture.Pattern(pattern.encode())
+    other.regex, other.go = None, capture.closures(list(capture.items(pattern.encode())))
+    assert list(one.every(subject.encode())) == list(other.every(subject.encode()))
+
+
+def test_nulls_and_large_numbers(spark):
+    df = spark.createDataFrame([(None, None, None), (2**53 + 1, "é", float("nan"))], "i long, s string, x double")
+    got = df.select(fn.format("%d %s", F.col("i"), F.col("s")), fn.frexp(F.col("x")), fn.tostring(F.col("x")), F.hex(fn.reverse(F.col("s"))), fn.find(F.col("s"), "(.)"), fn.match(F.col("s"), "()."), fn.gsub(F.col("s"), ".", "x", 1), fn.modf(F.col("x")), fn.byte_range(F.col("s"), 1, -1)).collect()
+    assert tuple(got[0]) == (None,) * 9
+    assert got[1][0] == f"{2**53 + 1} é" and got[1][2] == "nan" and got[1][3] == "A9C3" and tuple(got[1][4])[:2] == (1, 1) and got[1][5] == "1" and got[1][8] == [0xC3, 0xA9]
+    row = spark.range(1).select(*[fn.next_power_of_two(F.lit(2**k)) for k in (0, 1, 29, 31, 39, 47, 51, 55, 62)], fn.next_power_of_two(F.lit(0)), fn.next_power_of_two(F.lit(2**55 + 1)), fn.modf(F.lit(float("inf")))["fraction"], fn.date("%d apples upper, %e|%C|%z", F.lit(0)), fn.difftime(F.lit(5), F.lit(3))).first()
+    assert tuple(row) == (1, 2, 2**29, 2**31, 2**39, 2**47, 2**51, 2**55, 2**62, 0, 2**56, 0.0, "01 apples upper,  1|19|+0000", 2.0)
