@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillet.schema import DOUBLE, FIELD_DDL, HEADERS, INTEGER, STRING, VALUES, field, one
-from rillet.sources.framed import framed_size
+from rillet.sources.framed import frame_header, framed_size
 
 _NAMES = {"Uuid": "uuid", "Timestamp": "timestamp", "Type": "type", "Logger": "logger", "Severity": "severity", "Payload": "payload", "EnvVersion": "env_version", "Pid": "pid", "Hostname": "hostname", "raw": "raw"}
 
@@ -27,10 +27,7 @@ def read_message(variable: str, fi: int = 0, ai: int = 0, kind: int | None = Non
     if variable == "size":
         return F.octet_length("raw").cast("long")
     if variable == "framed":
-        from rillet.sources.codec import frame_header
-
-        header = F.udf(lambda n: None if n is None else bytearray(frame_header(n)), "binary", useArrow=True)
-        return F.concat(header(F.octet_length("raw")), F.col("raw"))
+        return F.concat(frame_header(F.octet_length("raw")), F.col("raw"))
     if variable == "framed_size":
         return framed_size(F.col("raw")).cast("long")
     m = re.fullmatch(r"Fields\[([^\]]+)\]", variable)

@@ -26,10 +26,14 @@ def count(messages: DataFrame, expression: str = "TRUE") -> DataFrame:
     return match_counts(messages, matcher(unescape(expression)))
 
 
-def select(messages: DataFrame, expression: str = "TRUE", last: int | None = None, order: str = "offset") -> DataFrame:
-    """Matching messages; of the ``last`` messages only, if that is given and not 0."""
+def select(messages: DataFrame, expression: str = "TRUE", last: int | None = None, order: str | list[str] | None = None) -> DataFrame:
+    """Matching messages; of the ``last`` messages only, if that is given and not 0.
+
+    Messages of files follow one another by path and offset.
+    """
     if last:
-        messages = messages.orderBy(F.desc(order)).limit(last)
+        order = [order] if isinstance(order, str) else order or [c for c in ("path", "offset") if c in messages.columns]
+        messages = messages.orderBy(*map(F.desc, order)).limit(last)
     return messages.where(matcher(unescape(expression)))
 
 
@@ -70,7 +74,21 @@ def frames(messages: DataFrame) -> DataFrame:
     return raw.select("raw")
 
 
-def follow(spark: SparkSession, path: str, expression: str = "TRUE") -> DataFrame:
-    """A stream of matching messages as files grow; run it with a trigger of one second."""
+def discarded(messages: DataFrame, path: str) -> DataFrame:
+    """How many bytes of the files of ``messages`` are in no frame, what follows the last one included."""
+    size = sum(framed.files(path).values())
+    return messages.agg((F.lit(size) - F.coalesce(F.sum(framed.framed_size(F.col("raw")).cast("long")), F.lit(0))).alias("discarded"))
+
+
+def follow(spark: SparkSession, path: str, expression: str = "TRUE", max_message: int | None = None) -> DataFrame:
+    """A stream of matching messages as files grow; run it with a trigger of one second (``followed``)."""
     framed.register(spark)
-    return spark.readStream.format("framed").load(path).where(matcher(unescape(expression)))
+    reader = spark.readStream.format("framed")
+    reader = reader if max_message is None else reader.option("max_message", str(max_message))
+    return reader.load(path).where(matcher(unescape(expression)))
+
+
+def followed(messages: DataFrame, sink, checkpoint: str, interval: str = "1 second", once: bool = False):
+    """Starts a query that hands the messages of each interval to ``sink``, with a number that repeats after a failure."""
+    writer = messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

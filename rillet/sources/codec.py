@@ -256,6 +256,10 @@ class StreamReader:
         self.consumed += n
         return n
 
+    def skip(self) -> bool:
+        """At the end of all data: passes over a frame that breaks off; false if there is nothing left."""
+        return bool(self.at < len(self.buffer) and self._skip(1))
+
     def find(self) -> tuple[dict | None, int]:
         discarded = 0
         while self.at < len(self.buffer):

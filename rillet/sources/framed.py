@@ -1,20 +1,25 @@
 """Framed message files as a Spark data source: ``spark.read.format("framed")``, streams, and a sink.
 
-Options: path (a file, folder or glob), max_message (bytes), decode (false
-passes any framed bytes as raw), split (bytes of a file per task). A task scans
-its range for frames that begin there; ranges start at the first frame the
-previous one doesn't hold, which is found by scanning a frame's length back.
+Options: path (a file, folder or glob, on any file system that Arrow knows),
+max_message (bytes), decode (false passes any framed bytes as raw), split (bytes
+of a file per task), lookback (bytes). A task finds the frames that begin in its
+range. It reads in windows and ahead of them only as far as a frame's header
+tells, so it holds a window and a frame. Where frames begin is known from the
+chain of those before: the scan starts ``lookback`` bytes before the range, or
+the largest message, if that is less. A longer message over the edge of a range,
+whose payload itself holds whole frames, needs a ``lookback`` of its size.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
@@ -24,20 +29,47 @@ from rillet.schema import HEADERS, MESSAGE_DDL, arrow_fields
 from rillet.sources import codec
 
 SCAN_DDL = f"path string, offset bigint, discarded bigint, {MESSAGE_DDL}, raw binary"
+WINDOW, LOOKBACK = 4 << 20, 1 << 20
 
 
-def files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(f"{path}/**/*", recursive=True) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
-    return sorted(glob.glob(path))
+def place(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system, the path in it, and what makes such a path a full one again; local paths need no scheme."""
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+://", path):
+        base = re.match(r"([^*?\[]*)(.*)", path, re.S)
+        system, root = fs.FileSystem.from_uri(base[1])
+        return system, root + base[2], "" if path.startswith("file://") else base[1][: len(base[1]) - len(root.lstrip("/"))]
+    return fs.LocalFileSystem(), path, ""
+
+
+def files(path: str) -> dict[str, int]:
+    """Sizes of the files that a path names, in the order of their names; hidden ones are left out."""
+    system, root, scheme = place(path)
+    if re.search(r"[*?\[]", root):
+        above = re.match(r"[^*?\[]*/", root)
+        found = system.get_file_info(fs.FileSelector(above[0].rstrip("/") or "/" if above else ".", recursive=True, allow_not_found=True))
+        found = [f for f in found if fnmatch.fnmatchcase(f.path, root) and f.path.count("/") == root.count("/")]
+    else:
+        info = system.get_file_info(root)
+        if info.type == fs.FileType.File:
+            return {scheme + info.path: info.size}
+        found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    shown = [f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+    return {scheme + f.path: f.size for f in sorted(shown, key=lambda f: f.path)}
+
+
+def opened(path: str) -> pa.NativeFile:
+    system, name, _ = place(path)
+    return system.open_input_file(name)
 
 
 @dataclass
 class Range(InputPartition):
+    """limit: where the file's known part ends; None is the whole file."""
+
     path: str
     begin: int
     end: int
+    limit: int | None = None
 
 
 def arrow_schema(*around: tuple[str, pa.DataType], after: tuple[tuple[str, pa.DataType], ...] = ()) -> pa.Schema:
@@ -49,26 +81,41 @@ FRAME = (("offset", pa.int64()), ("discarded", pa.int64()))
 RAW = (("raw", pa.binary()),)
 
 
+def found(file: pa.NativeFile, begin: int, end: int, most: int, decoded: bool, limit: int | None = None) -> Iterator[tuple[int, int, dict]]:
+    """offset, end and message of the frames of a file that begin in [begin, end), read up to ``limit``."""
+    reader, at, size = codec.StreamReader(most, decoded), begin, file.size() if limit is None else limit
+    while True:
+        message, _ = reader.find()
+        if message is not None:
+            after = begin + reader.consumed
+            start = after - len(message["raw"]) - len(codec.frame_header(len(message["raw"])))
+            if start >= end:
+                return
+            yield start, after, message
+        elif begin + reader.consumed >= end:
+            return
+        elif at < size:
+            data = file.read_at(min(WINDOW, size - at), at)
+            reader.feed(data)
+            at += len(data)
+        elif not reader.skip():
+            return
+
+
 def scan(part: Range, options: dict) -> Iterator[pa.RecordBatch]:
     most, decoded = int(options.get("max_message", codec.MAX_MESSAGE)), options.get("decode", "true") != "false"
     schema = arrow_schema(("path", pa.string()), *FRAME, after=RAW)
-    # a frame that begins before the range may reach into it: chains from one frame back tell which bytes are inside frames
-    back = max(0, part.begin - most - codec.HEADER_SLACK)
-    with open(part.path, "rb") as f:
-        f.seek(back)
-        data = f.read(part.end - back + most + codec.HEADER_SLACK)
-    rows = []
-    reached = part.begin
-    for at, discarded, raw, message in codec.frames(data, 0, part.end - back, most, decoded):
-        at += back
-        if at < part.begin:
-            reached = max(reached, at + len(codec.frame_header(len(raw))) + len(raw))
-            continue
-        rows.append({"path": part.path, "offset": at, "discarded": at - reached, "raw": raw} | message)
-        reached = at + len(codec.frame_header(len(raw))) + len(raw)
-        if len(rows) == 5000:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-            rows = []
+    back = max(0, part.begin - min(most + codec.HEADER_SLACK, int(options.get("lookback", LOOKBACK))))
+    rows, reached, held = [], part.begin, 0
+    with opened(part.path) as f:
+        for at, after, message in found(f, back, part.end, most, decoded, part.limit):
+            if at >= part.begin:
+                rows.append({"path": part.path, "offset": at, "discarded": at - reached} | message)
+                held += after - at
+            reached = max(reached, after)
+            if len(rows) == 5000 or held > WINDOW:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, held = [], 0
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -79,17 +126,19 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         split = int(self.options.get("split", 64 << 20))
-        return [Range(p, a, min(a + split, os.path.getsize(p))) for p in files(self.options["path"]) for a in range(0, os.path.getsize(p), split)]
+        return [Range(p, a, min(a + split, n)) for p, n in files(self.options["path"]).items() for a in range(0, n, split)] or [Range("", 0, 0)]
 
     def read(self, part):
-        yield from scan(part, self.options)
+        if part.path:
+            yield from scan(part, self.options)
 
 
 class StreamReader(DataSourceStreamReader):
-    """Follows a folder: offsets hold each file's size; a batch has what was added since, by whole frames."""
+    """Follows a folder: offsets hold each file's end of its last whole frame; a batch has what was added since, in ranges."""
 
     def __init__(self, options: dict):
         self.options = dict(options)
+        self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -97,18 +146,18 @@ class StreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         most = int(self.options.get("max_message", codec.MAX_MESSAGE))
         out = {}
-        for path in files(self.options["path"]):
-            size = os.path.getsize(path)
-            with open(path, "rb") as f:
-                f.seek(back := max(0, size - 2 * (most + codec.HEADER_SLACK)))
-                data = f.read(size - back)
-            ends = [at + len(codec.frame_header(len(raw))) + len(raw) for at, _, raw, _ in codec.frames(data, 0, None, most, False)]
-            if ends:
-                out[path] = back + ends[-1]
+        for path, size in files(self.options["path"]).items():
+            # what is already known to end in a frame needs no second look
+            back = max(self.known.get(path, 0), size - 2 * (most + codec.HEADER_SLACK), 0)
+            with opened(path) as f:
+                last = max((after for _, after, _ in found(f, back, size, most, False, size)), default=self.known.get(path, 0))
+            if last:
+                out[path] = self.known[path] = last
         return out
 
     def partitions(self, start: dict, end: dict):
-        return [Range(p, start.get(p, 0), e) for p, e in end.items() if e > start.get(p, 0)]
+        split = int(self.options.get("split", 64 << 20))
+        return [Range(p, a, min(a + split, e), e) for p, e in end.items() for a in range(start.get(p, 0), e, split)]
 
     def read(self, part):
         yield from scan(part, self.options)
@@ -124,35 +173,40 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """A file of frames per task, renamed into place when the job commits."""
+    """A file of frames per task, moved into place when the job commits; files that it replaces go only then."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.folder = options["path"].removeprefix("file://")
-        self.overwrite = overwrite
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        path, n = f"{self.folder}/.{uuid.uuid4().hex}.part", 0
-        with open(path, "wb") as f:
+        system, folder, _ = place(self.path)
+        system.create_dir(folder, recursive=True)
+        path, n = f"{folder}/.{uuid.uuid4().hex}.part", 0
+        with system.open_output_stream(path) as f:
             for batch in batches:
-                for row in batch.to_pylist():
-                    raw = row.get("raw") or codec.encode(row)
+                known = batch.column(batch.schema.get_field_index("raw")).to_pylist() if "raw" in batch.schema.names else [None] * batch.num_rows
+                if None in known:
+                    known = [raw or codec.encode(row) for raw, row in zip(known, batch.to_pylist())]
+                for raw in known:
                     f.write(codec.frame_header(len(raw)) + raw)
-                    n += 1
+                n += len(known)
         return Written(path, n)
 
     def commit(self, messages) -> None:
-        if self.overwrite:
-            for old in files(self.folder):
-                os.remove(old)
+        system, folder, scheme = place(self.path)
+        old = list(files(self.path)) if self.overwrite else []
         for m in messages:
             if m is not None:
-                os.rename(m.path, f"{self.folder}/{os.path.basename(m.path)[1:].removesuffix('.part')}.framed")
+                name = m.path.rpartition("/")[2]
+                system.move(m.path, f"{folder}/{name[1:].removesuffix('.part')}.framed")
+        for path in old:
+            system.delete_file(path.removeprefix(scheme))
 
     def abort(self, messages) -> None:
+        system, _, _ = place(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 class FramedSource(DataSource):
@@ -177,6 +231,14 @@ def register(spark) -> None:
     spark.dataSource.register(FramedSource)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where it has fewer: coding costs more than moving rows."""
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # counting partitions would run what comes before
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def encoded(df: DataFrame, framed: bool = False, name: str = "pb") -> DataFrame:
     """``df`` (messages) with a binary column of each message; errors end the task."""
 
@@ -185,6 +247,7 @@ def encoded(df: DataFrame, framed: bool = False, name: str = "pb") -> DataFrame:
             rows = batch.select([*HEADERS, "fields"]).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([codec.encode(r, framed) for r in rows], pa.binary())], [*batch.schema.names, name])
 
+    df = spread(df)
     return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast("binary")).schema)
 
 
@@ -208,7 +271,7 @@ def decoded(df: DataFrame, column: str = "pb", strict: bool = False, others: lis
             kept = [batch.column(batch.schema.get_field_index(o)) for o in others]
             yield pa.RecordBatch.from_arrays([*kept, *got.columns], [*others, *body.names])
 
-    return df.select(*others, column).mapInArrow(run, schema)
+    return spread(df.select(*others, column)).mapInArrow(run, schema)
 
 
 def frames_of(df: DataFrame, column: str = "chunk", max_message: int = codec.MAX_MESSAGE) -> DataFrame:
@@ -220,7 +283,18 @@ def frames_of(df: DataFrame, column: str = "chunk", max_message: int = codec.MAX
             rows = [{"offset": at, "discarded": d, "raw": raw} | m for data in batch.column(0).to_pylist() for at, d, raw, m in codec.frames(data or b"", 0, None, max_message)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return df.select(column).mapInArrow(run, SCAN_DDL.removeprefix("path string, "))
+    return spread(df.select(column)).mapInArrow(run, SCAN_DDL.removeprefix("path string, "))
+
+
+def frame_header(size: Column) -> Column:
+    """The bytes before a message of ``size`` bytes in a frame."""
+    n, parts = size.cast("long"), []
+    for k in range(5):
+        rest = F.shiftright(n, 7 * k)
+        byte = F.lpad(F.hex(rest.bitwiseAND(127) + F.when(rest > 127, 128).otherwise(0)), 2, "0")
+        parts.append(byte if k == 0 else F.when(rest > 0, byte).otherwise(""))
+    varint = F.concat(*parts)
+    return F.unhex(F.concat(F.lit("1E"), F.lpad(F.hex((F.length(varint) / 2 + 1).cast("long")), 2, "0"), F.lit("08"), varint, F.lit("1F")))
 
 
 def framed_size(raw: Column) -> Column:

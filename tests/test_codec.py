@@ -109,6 +109,24 @@ def test_source_and_sink(spark, tmp_path):
     assert sorted(want) == sorted(back.groupBy("type").count().collect())
     assert cat.count(back, "Type == 'error'").first().matched == events.where("type = 'error'").count()
     assert cat.select(back, "TRUE", 0).count() == back.count()
+    files = framed.files(path)
+    last = sorted(back.select("path", "offset").collect())[-40:]
+    assert sorted((r.path, r.offset) for r in cat.select(back, "TRUE", 40).collect()) == [tuple(r) for r in last]
+    # two files: the last messages are those of the later name, however large the offsets of the other
+    small = tmp_path / "many"
+    small.mkdir()
+    raws = [bytes(r.raw) for r in back.limit(9).collect()]
+    frame = lambda raw: codec.frame_header(len(raw)) + raw
+    (small / "1-old.log").write_bytes(b"".join(map(frame, raws[:7])) + b"tail")
+    (small / "2-new.log").write_bytes(b"\x1e\x02" + b"".join(map(frame, raws[7:])) + codec.frame_header(500) + b"cut")
+    two = cat.load(spark, str(small))
+    assert [r.path.rpartition("/")[2] for r in cat.select(two, "TRUE", 3).orderBy("path").collect()] == ["1-old.log", "2-new.log", "2-new.log"]
+    assert cat.discarded(two, str(small)).first().discarded == 4 + 2 + len(codec.frame_header(500)) + 3
+    assert two.count() == 9 == cat.load(spark, f"file://{small}").count() == cat.load(spark, f"{small}/*.log").count() and cat.load(spark, f"{small}/1*").count() == 7
+    # overwriting replaces files only once the new ones are in place
+    two.limit(4).write.format("framed").mode("overwrite").save(str(small))
+    assert cat.load(spark, str(small)).count() == 4 and not set(framed.files(str(small))) & {str(small / "1-old.log")}
+    assert len(files) == len(framed.files(path))
     stream = cat.follow(spark, path, "Severity < 7")
     q = stream.writeStream.format("memory").queryName("followed").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
