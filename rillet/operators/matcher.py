@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rillet.functions import luapattern
-from rillet.schema import BOOL, BYTES, DOUBLE, INT_MIN, INTEGER, STRING
+from rillet.schema import BOOL, BYTES, DOUBLE, INT_MIN, INTEGER, STRING, VALUES
 
 STRING_HEADERS = {"Type": "type", "Logger": "logger", "Hostname": "hostname", "EnvVersion": "env_version", "Payload": "payload"}
 MOST_TESTS, MOST_STRING = 128, 255
@@ -381,3 +381,61 @@ def matcher(expression: str, columns: Nested | None = None, compat: bool = False
 def matched(expression: str, columns: Nested | None = None, compat: bool = False) -> Column:
     """True or false for every row, for a projection."""
     return F.coalesce(matcher(expression, columns, compat), F.lit(False))
+
+
+def _holds_text(value: bytes, t: Test) -> bool:
+    if t.op in ("=~", "!~"):
+        return luapattern.matches(value, t.value.encode(), t.mod) == (t.op == "=~")
+    return COMPARE[t.op](value, t.value.encode())
+
+
+def _holds_field(message: dict, t: Test) -> bool:
+    named = [f for f in message.get("fields") or [] if f["name"] == t.name]
+    found = named[t.fi] if t.fi < len(named) else {"value_type": None}
+    kind = found["value_type"]
+    values = (found.get(VALUES[kind]) or []) if kind in VALUES else []
+    value = values[t.ai] if t.ai < len(values) else None
+    if t.value is NIL:
+        return (value is None) == (t.op == "==")
+    if value is None:
+        return False
+    if isinstance(t.value, bool):
+        return kind in (BOOL, INTEGER, DOUBLE) and COMPARE[t.op](float(value), float(t.value))
+    if isinstance(t.value, str):
+        return kind in (STRING, BYTES) and _holds_text(value.encode() if isinstance(value, str) else bytes(value), t)
+    return kind in (INTEGER, DOUBLE) and COMPARE[t.op](float(value), t.value)
+
+
+def holds(tree, message: dict) -> bool:
+    """Whether one message, a dict of the schema's columns, passes; what ``compile`` says of its row."""
+    if isinstance(tree, Both):
+        either = holds(tree.left, message)
+        return (either and holds(tree.right, message)) if tree.op == "&&" else either or holds(tree.right, message)
+    t = tree
+    if t.variable in ("TRUE", "FALSE"):
+        return t.variable == "TRUE"
+    if t.variable == "Fields":
+        return _holds_field(message, t)
+    if t.variable in STRING_HEADERS or t.variable == "Uuid":
+        value = message.get(STRING_HEADERS.get(t.variable, "uuid"))
+        if t.value is NIL:
+            return (value is None) == (t.op == "==")
+        if value is None:
+            return t.op in NIL_TRUE and t.variable != "Uuid"
+        return _holds_text(value.encode() if isinstance(value, str) else bytes(value), t)
+    value = message.get(t.variable.lower())
+    if t.value is NIL:
+        return (value is None) == (t.op == "==")
+    if value is None:
+        return t.variable == "Pid" and COMPARE[t.op](INT_MIN, t.value)
+    return COMPARE[t.op](float(value), t.value)
+
+
+class MessageMatcher:
+    """A matcher for plugins, which have one message at hand."""
+
+    def __init__(self, expression: str, compat: bool = False):
+        self.expression, self.tree = expression, parse(expression, compat)
+
+    def eval(self, message: dict) -> bool:
+        return holds(self.tree, message)

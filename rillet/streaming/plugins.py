@@ -1,8 +1,8 @@
 """Input, analysis and output plugins on batch and streaming DataFrames.
 
 Plugins are plain classes. Analysis plugins keep a dict of state per key (one
-key for all by default, as a single plugin instance would); it is JSON, carries
-a version, and starts afresh when the version changes. A batch run streams each
+key for all by default, as a single plugin instance would); it is kept as
+text with a version, and starts afresh when the version changes. A batch run streams each
 key's rows in order and holds only the state, never the group.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rillet.functions.scalar import format_number
-from rillet.schema import MESSAGE_DDL, message
-from rillet.sources.codec import encode
+from rillet.operators.matcher import MessageMatcher
+from rillet.schema import HEADERS, MESSAGE_DDL, message
+from rillet.sources.codec import MAX_MESSAGE, StreamReader, decode_strict, encode
 from rillet.sources.framed import arrow_schema
 
 OK, FAIL, SKIP, RETRY, BATCH, ASYNC = 0, -1, -2, -3, -4, -5
@@ -36,8 +37,28 @@ class PluginTerminated(RuntimeError):
         super().__init__(f"{where}() {why}"[: ERROR_SIZE - 1])
 
 
-class Emitter:
-    """What a plugin may call: ``inject_message``, ``inject_payload``, ``add_to_payload``, ``read_config``."""
+class Tools:
+    """What every plugin may call on messages: coding, and matching one at hand."""
+
+    @staticmethod
+    def encode_message(fields=None, framed: bool = False, **headers) -> bytes:
+        return encode(message(fields, **headers), framed)
+
+    @staticmethod
+    def decode_message(raw: bytes) -> dict:
+        return decode_strict(raw)
+
+    @staticmethod
+    def create_message_matcher(expression: str) -> MessageMatcher:
+        return MessageMatcher(expression)
+
+    @staticmethod
+    def create_stream_reader(most: int = MAX_MESSAGE, decode: bool = True) -> StreamReader:
+        return StreamReader(most, decode)
+
+
+class Emitter(Tools):
+    """What an analysis plugin may call: ``inject_message``, ``inject_payload``, ``add_to_payload``, ``read_config``."""
 
     def __init__(self, config: dict | None = None, limit: int = OUTPUT_LIMIT):
         self.config, self.limit, self.text, self.out = config or {}, limit, [], []
@@ -96,22 +117,41 @@ class AnalysisPlugin:
 
 
 def preserve(state: dict, version: int = 0) -> str:
-    """State as text: what JSON can't hold (functions, other objects) is left out; infinities and NaN are kept."""
-
-    def plain(v, seen=()):
-        if isinstance(v, (str, bool, int, float)) or v is None:
-            return True, v
-        if id(v) in seen:
-            return False, None
-        if isinstance(v, (list, tuple)):
-            return True, [x for ok, x in (plain(i, (*seen, id(v))) for i in v) if ok]
-        if isinstance(v, dict):
-            if any(callable(k) for k in v):
-                raise ValueError("unsupported key type: function")
-            return True, {str(k): x for k, (ok, x) in ((k, plain(i, (*seen, id(v)))) for k, i in v.items()) if ok}
-        return False, None
+    """State as text: dicts with keys of any scalar, lists, tuples, text, bytes, numbers, truth values and None.
 
-    return json.dumps({"version": version, "state": plain(state)[1]})
+    What is shared or refers to itself stays so; infinities and NaN are kept.
+    Functions and other objects are left out, but as keys they are an error.
+    """
+    nodes: list = []
+    places: dict[int, int] = {}
+
+    def scalar(v):
+        return {"b": v.hex()} if isinstance(v, bytes) else v
+
+    def held(v) -> bool:
+        return v is None or isinstance(v, (str, bool, int, float, bytes, list, tuple, dict))
+
+    def refer(v):
+        if not isinstance(v, (list, tuple, dict)):
+            return scalar(v)
+        if id(v) not in places:
+            places[id(v)] = len(nodes)
+            nodes.append(None)
+            todo.append(v)
+        return {"at": places[id(v)]}
+
+    todo: list = []
+    root = refer(state)
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            bad = next((k for k in v if not isinstance(k, (str, bool, int, float, bytes))), None)
+            if bad is not None:
+                raise ValueError(f"unsupported key type: {'function' if callable(bad) else type(bad).__name__}")
+            nodes[places[id(v)]] = {"pairs": [[scalar(k), refer(x)] for k, x in v.items() if held(x)]}
+        else:
+            nodes[places[id(v)]] = {"list": [refer(x) for x in v if held(x)]}
+    return json.dumps({"version": version, "root": root, "nodes": nodes})
 
 
 def restore(text: str | None, version: int = 0) -> dict:
@@ -119,7 +159,19 @@ def restore(text: str | None, version: int = 0) -> dict:
     if not text:
         return {}
     got = json.loads(text)
-    return got["state"] if got.get("version") == version else {}
+    if got.get("version") != version:
+        return {}
+    made = [{} if "pairs" in n else [] for n in got["nodes"]]
+
+    def value(v):
+        return v if not isinstance(v, dict) else bytes.fromhex(v["b"]) if "b" in v else made[v["at"]]
+
+    for node, own in zip(got["nodes"], made):
+        if "pairs" in node:
+            own.update((value(k), value(x)) for k, x in node["pairs"])
+        else:
+            own.extend(map(value, node["list"]))
+    return value(got["root"])
 
 
 def call(plugin: AnalysisPlugin, msg: dict, state: dict, emit: Emitter) -> int:
@@ -189,9 +241,11 @@ class _Processor(StatefulProcessor):
         self.handle, self.kept = handle, handle.getValueState("state", "text string")
 
     def _frame(self, key, emit: Emitter, n: int, bad: int) -> pd.DataFrame:
-        rows = [{"key": key[0], "kind": "message", "processed": None, "failures": None, "payload": m["payload"], "type": m["type"]} for m in emit.take()]
-        rows.append({"key": key[0], "kind": "state", "processed": n, "failures": bad, "payload": self.text, "type": None})
-        return pd.DataFrame(rows).astype({"processed": "Int64", "failures": "Int64"})
+        blank = {"processed": None, "failures": None} | dict.fromkeys([*HEADERS, "fields"])
+        rows = [blank | {"key": key[0], "kind": "message"} | m for m in emit.take()]
+        rows.append(blank | {"key": key[0], "kind": "state", "processed": n, "failures": bad, "payload": self.text})
+        frame = pd.DataFrame(rows, columns=["key", "kind", "processed", "failures", *HEADERS, "fields"], dtype=object)
+        return frame.astype({c: "Int64" for c in ("processed", "failures", "timestamp")} | {c: "Int32" for c in ("severity", "pid")})
 
     def _state(self) -> dict:
         return restore(self.kept.get()[0] if self.kept.exists() else None, self.plugin.version)
@@ -225,20 +279,67 @@ class _Processor(StatefulProcessor):
 def analyse_stream(df: DataFrame, plugin: AnalysisPlugin, key: str | None = None, interval: float = 0, config: dict | None = None) -> DataFrame:
     """Runs ``plugin`` over a stream with its state in the state store.
 
-    Rows: key, kind, processed, failures, payload, type; kind 'message' for
-    injected messages, 'state' for the state after each batch. ``interval``
-    seconds of processing time bring timer events; such queries are stopped by
-    whoever runs them. Needs the RocksDB state store provider.
+    Rows: key, kind, processed, failures, and a message's columns; kind
+    'message' for injected messages, 'state' for the state after each batch, in
+    payload. ``interval`` seconds of processing time bring timer events; such
+    queries are stopped by whoever runs them, who then calls ``finish`` with the
+    rows of state. Needs the RocksDB state store provider.
     """
     keyed = df.withColumn("_key", F.lit("") if key is None else F.coalesce(F.col(key).cast("string"), F.lit("")))
     return keyed.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=_Processor(plugin, interval, config), outputStructType="key string, kind string, processed bigint, failures bigint, payload string, type string",
+        statefulProcessor=_Processor(plugin, interval, config), outputStructType=f"key string, kind string, processed bigint, failures bigint, {MESSAGE_DDL}",
         outputMode="Update", timeMode="ProcessingTime" if interval else "None",
     )
 
 
-class OutputPlugin:
-    """Override ``process_message``; it returns 0, -1 to -5, or above 0 to end. ``flush`` writes what was batched."""
+def finish(states: DataFrame, plugin: AnalysisPlugin, config: dict | None = None, ns: int = 0) -> DataFrame:
+    """The messages of the last timer event of each key, from its last row of state, of which ``states`` has one for each key.
+
+    For streams, whose end Spark doesn't tell their state.
+    """
+    latest = states.where("kind = 'state'").select("key", "payload")
+    schema = arrow_schema(("key", pa.string()))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                emit = Emitter(config)
+                plugin.timer_event(ns, True, restore(text, plugin.version), emit)
+                out += [{"key": k} | m for m in emit.take()]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return latest.mapInArrow(run, f"key string, {MESSAGE_DDL}")
+
+
+class Checkpoint:
+    """What an output plugin has confirmed: all it batched so far, or what it sent by itself up to a sequence."""
+
+    def __init__(self):
+        self.seen = self.batched = self.sent = None
+        self.failures = 0
+
+    def update(self, sequence=None, failures: int = 0) -> None:
+        """Without ``sequence``, confirms what was batched; else what was sent asynchronously up to it."""
+        if failures < 0:
+            raise ValueError("update_checkpoint() failures must not be negative")
+        self.failures += failures
+        if sequence is None:
+            self.batched = self.seen
+        else:
+            self.sent = sequence if self.sent is None else max(self.sent, sequence)
+
+
+class OutputPlugin(Tools):
+    """Override ``process_message``; it returns 0, -1 to -5, or above 0 to end. ``flush`` writes what was batched.
+
+    ``update_checkpoint`` confirms batched and asynchronous messages.
+    """
+
+    checkpoint: Checkpoint | None = None
+
+    def update_checkpoint(self, sequence=None, failures: int = 0) -> None:
+        self.checkpoint.update(sequence, failures)
 
     def process_message(self, msg: dict, sequence: int) -> int:
         return OK
@@ -248,36 +349,57 @@ class OutputPlugin:
 
 
 def deliver(df: DataFrame, plugin: OutputPlugin, sequence: str = "offset", retries: int = 3, wait: float = 0.0) -> DataFrame:
-    """Sends every message once; returns sequence, rv, outcome, attempts, and whether it moves the checkpoint.
+    """Sends every message once; returns sequence, rv, outcome, attempts, whether it moves the checkpoint, and failures reported later.
 
     A retry repeats the message after ``wait`` seconds, at most ``retries``
-    times, then counts as a failure. Batched messages are acknowledged by the
-    flush at the end of their task; asynchronous ones by the plugin.
+    times, then counts as a failure. Batched messages are acknowledged by
+    ``update_checkpoint()`` or by the flush at the end of their task;
+    asynchronous ones by ``update_checkpoint(sequence)``. A task holds only rows
+    that wait for that.
     """
+    names = ["sequence", "rv", "outcome", "attempts", "acknowledged", "late_failures"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
 
     def run(batches):
-        rows = []
+        plugin.checkpoint = mark = Checkpoint()
+        waiting: list[tuple] = []
+
+        def settled(rows: list[tuple]) -> pa.RecordBatch:
+            late, mark.failures = mark.failures, 0
+            columns = [[s for s, *_ in rows], [rv for _, rv, *_ in rows], [OUTCOMES[rv] for _, rv, *_ in rows], [n for _, _, n, _ in rows], [ok for *_, ok in rows], [late * (k == 0) for k in range(len(rows))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        def confirmed(s, rv) -> bool:
+            upto = mark.batched if rv == BATCH else mark.sent
+            return upto is not None and s <= upto
+
         for batch in batches:
+            done = []
             for msg in batch.to_pylist():
-                attempts = 1
+                attempts, mark.seen = 1, msg[sequence]
                 while (rv := plugin.process_message(msg, msg[sequence])) == RETRY and attempts <= retries:
                     time.sleep(wait)
                     attempts += 1
                 rv = FAIL if rv == RETRY else OK if rv is None else rv
                 if rv > 0 or rv not in OUTCOMES:
                     raise PluginTerminated("process_message", f"returned {rv}")
-                rows.append((msg[sequence], rv, attempts))
+                (waiting if rv in (BATCH, ASYNC) else done).append((msg[sequence], rv, attempts, True))
+            done += [r for r in waiting if confirmed(*r[:2])]
+            waiting[:] = [r for r in waiting if not confirmed(*r[:2])]
+            if done:
+                yield settled(done)
         flushed = plugin.flush(True) == OK
-        columns = list(zip(*rows)) or [(), (), ()]
-        moves = [rv in (OK, SKIP, FAIL) or rv == BATCH and flushed for rv in columns[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array([OUTCOMES[r] for r in columns[1]], pa.string()), pa.array(columns[2], pa.int32()), pa.array(moves, pa.bool_())], ["sequence", "rv", "outcome", "attempts", "acknowledged"])
+        rest = [(s, rv, n, confirmed(s, rv) or rv == BATCH and flushed) for s, rv, n, _ in waiting]
+        if rest:
+            yield settled(rest)
 
-    return df.mapInArrow(run, "sequence long, rv int, outcome string, attempts int, acknowledged boolean")
+    return df.mapInArrow(run, "sequence long, rv int, outcome string, attempts int, acknowledged boolean, late_failures long")
 
 
 def delivery_counts(outcomes: DataFrame) -> DataFrame:
-    """pm_cnt counts all calls but retries; failures count once."""
-    return outcomes.agg(F.count_if(F.col("rv") != RETRY).alias("pm_cnt"), F.count_if(F.col("rv") == FAIL).alias("pm_failures"), F.max(F.when(F.col("acknowledged"), F.col("sequence"))).alias("checkpoint"))
+    """pm_cnt counts all calls but retries; failures count once, those that plugins reported later too."""
+    failures = F.count_if(F.col("rv") == FAIL) + F.coalesce(F.sum("late_failures"), F.lit(0))
+    return outcomes.agg(F.count_if(F.col("rv") != RETRY).alias("pm_cnt"), failures.alias("pm_failures"), F.max(F.when(F.col("acknowledged"), F.col("sequence"))).alias("checkpoint"))
 
 
 def deliver_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "1 second", once: bool = False, done: Callable[[int], bool] | None = None):
@@ -291,8 +413,12 @@ def deliver_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
-class InputPlugin:
-    """Override ``process_message``: yields (message, checkpoint) from the given checkpoint, a number, text or None, on."""
+class InputPlugin(Tools):
+    """Override ``process_message``: yields (message, checkpoint) from the given checkpoint, a number, text or None, on.
+
+    A message is a dict, the bytes of an encoded one, what a stream reader
+    found, or None, which moves the checkpoint alone.
+    """
 
     def process_message(self, checkpoint) -> Iterator[tuple[dict, object]]:
         return iter(())
@@ -304,6 +430,10 @@ def input_source(plugin: InputPlugin, name: str) -> type[DataSource]:
 
     def rows(checkpoint):
         for m, at in plugin.process_message(checkpoint):
+            if m is None:
+                yield None, at
+                continue
+            m = decode_strict(m) if isinstance(m, (bytes, bytearray)) else m
             nested = [Row(**f) for f in m["fields"]]
             yield (json.dumps(at), *[m[h] for h in ("uuid", "timestamp", "type", "logger", "severity", "payload", "env_version", "pid", "hostname")], nested), at
 
@@ -313,7 +443,8 @@ def input_source(plugin: InputPlugin, name: str) -> type[DataSource]:
 
         def read(self, partition):
             for row, _ in rows(None):
-                yield row
+                if row is not None:
+                    yield row
 
     class Stream(SimpleDataSourceStreamReader):
         def initialOffset(self):
@@ -322,13 +453,14 @@ def input_source(plugin: InputPlugin, name: str) -> type[DataSource]:
         def read(self, start):
             got, last = [], start["checkpoint"]
             for row, at in rows(last):
-                got.append(row)
+                got += [row] if row is not None else []
                 last = last if at is None else at
             return iter(got), {"checkpoint": last}
 
         def readBetweenOffsets(self, start, end):
             for row, at in rows(start["checkpoint"]):
-                yield row
+                if row is not None:
+                    yield row
                 if at == end["checkpoint"]:
                     break
 

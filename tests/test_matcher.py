@@ -112,3 +112,19 @@ def test_flat_agrees_with_nested(spark):
         a = events(spark, sf).where(matcher(e, FLAT)).select("event_id")
         b = event_messages(spark, sf).where(matcher(e)).select("event_id")
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_one_message_and_rows_agree(spark):
+    """The matcher of plugins says of each message what the column says of its row."""
+    from rillet.operators.matcher import MessageMatcher
+    from rillet.plans import catalog
+    from rillet.plans.adapters import event_messages
+
+    e = event_messages(spark, "/root/testdata/sf0.001").limit(60)
+    texts = [text for text, _ in catalog.MATCHES.values()]
+    rows = e.select("*", *[matched(t).alias(f"m{k}") for k, t in enumerate(texts)]).collect()
+    for k, text in enumerate(texts):
+        own = MessageMatcher(text)
+        for r in rows:
+            m = r.asDict(recursive=True)
+            assert own.eval(m) == m[f"m{k}"], text

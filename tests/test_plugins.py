@@ -23,9 +23,10 @@ def test_state_text():
     state = {"n": 1, "inf": float("inf"), "t": [1, {"x": None}], "f": print}
     back = plugins.restore(plugins.preserve(state, 3), 3)
     assert back == {"n": 1, "inf": float("inf"), "t": [1, {"x": None}]} and plugins.restore(plugins.preserve(state, 3), 4) == {}
-    loop = {}
+    loop, shared = {}, [1]
     loop["me"] = loop
-    assert plugins.restore(plugins.preserve({"a": loop})) == {"a": {}}
+    got = plugins.restore(plugins.preserve({"a": loop, "x": shared, "y": shared, 7: "n", 2.5: b"\xff", "s": "é"}))
+    assert got["a"]["me"] is got["a"] and got["x"] is got["y"] and got[7] == "n" and got[2.5] == b"\xff" and got["s"] == "é"
     with pytest.raises(ValueError):
         plugins.preserve({print: 1})
 
@@ -60,24 +61,74 @@ def test_delivery(spark):
     assert tuple(plugins.delivery_counts(sent).first()) == (12, 4, 10)
 
 
+def test_checkpoints(spark):
+    """Batched messages wait for update_checkpoint() or the flush, asynchronous ones for update_checkpoint(sequence)."""
+
+    class Late(plugins.OutputPlugin):
+        def process_message(self, msg, sequence):
+            if sequence == 4:
+                self.update_checkpoint()
+            if sequence == 9:
+                self.update_checkpoint(6, failures=2)
+            return plugins.BATCH if sequence % 2 else plugins.ASYNC
+
+        def flush(self, shutdown):
+            return plugins.FAIL
+
+    sent = plugins.deliver(spark.range(12).withColumnRenamed("id", "offset").coalesce(1), Late()).cache()
+    assert sorted(r.sequence for r in sent.where("acknowledged").collect()) == [0, 1, 2, 3, 4, 6]
+    assert sent.count() == 12 and tuple(plugins.delivery_counts(sent).first()) == (12, 2, 6)
+
+
+def test_tools():
+    e = plugins.Emitter()
+    raw = e.encode_message({"n": 5, "s": "x"}, type="t", severity=3, uuid=bytes(16))
+    m = e.decode_message(raw)
+    assert m["type"] == "t" and e.create_stream_reader().find() == (None, 0)
+    for text, want in {"Type == 't' && Severity < 4": True, "Fields[n] > 5": False, "Fields[n] >= 5 && Fields[s] =~ '^x$'": True, "Fields[q] != 'x'": False, "Fields[q] == NIL": True, "Logger != 'a'": True, "Logger > 'a' || Pid < 3": True, "Hostname == NIL": True, "Type !~ '%d'": True}.items():
+        assert e.create_message_matcher(text).eval(m) == want, text
+
+
 def test_streams(spark, tmp_path):
     e = events(spark, SF).select("type", "timestamp", "severity")
     e.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
     q = plugins.analyse_stream(stream, examples.Counter(), "type").writeStream.format("memory").queryName("analysed").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
-    got = {r.key: r.processed for r in spark.table("analysed").where("kind = 'state'").collect()}
+    out = spark.table("analysed")
+    got = {r.key: r.processed for r in out.where("kind = 'state'").collect()}
+    last = {r.key: (r.payload, r.type, r.severity, r.fields[1].value_string) for r in plugins.finish(out, examples.Counter()).collect()}
+    assert last == {k: (str(n), "inject_payload", 7, ["count"]) for k, n in got.items()}
     assert got == {r.type: r["count"] for r in e.groupBy("type").count().collect()}
     seen = []
     q = plugins.deliver_stream(stream, lambda rows, n: seen.append((n, rows.count())), str(tmp_path / "c2"), once=True, done=lambda n: n in dict(seen))
     assert q.awaitTermination(60) and sum(n for _, n in seen) == e.count()
 
 
+def test_stream_messages(spark, tmp_path):
+    """A stream's injected messages have all their headers and fields."""
+
+    class Echo(plugins.AnalysisPlugin):
+        def process_message(self, msg, state, emit):
+            emit.inject_message([{"name": "a", "value": [1, 2], "value_type": 2}, {"name": "b", "value": True}], type="echo", timestamp=int(msg["timestamp"]), payload="p", pid=7)
+
+    e = events(spark, SF).select("type", "timestamp").limit(20)
+    e.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    q = plugins.analyse_stream(stream, Echo()).writeStream.format("memory").queryName("echoed").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    rows = spark.table("echoed").where("kind = 'message'").collect()
+    assert sorted(r.timestamp for r in rows) == sorted(r.timestamp for r in e.collect())
+    assert all((r.type, r.payload, r.pid, len(r.uuid), r.fields[0].value_integer, r.fields[1].value_bool) == ("echo", "p", 7, 16, [1, 2], [True]) for r in rows)
+
+
 def test_input(spark, tmp_path):
     class Numbers(plugins.InputPlugin):
         def process_message(self, checkpoint):
             for k in range(checkpoint or 0, 5):
-                yield plugins.message({"n": k}, timestamp=k, type="n"), k + 1
+                m = plugins.message({"n": k}, timestamp=k, type="n")
+                yield (m if k % 2 else plugins.encode(m)), k + 1
+                yield None, k + 1
 
     plugins.register_input(spark, Numbers(), "numbers")
     assert spark.read.format("numbers").load().count() == 5
