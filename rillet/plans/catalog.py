@@ -13,6 +13,7 @@ from rillet.operators import accessors, cat, stats
 from rillet.operators.matcher import matched, matcher
 from rillet.plans.adapters import EVENTS_SQL, FLAT, document_messages, event_messages, events, order_messages
 from rillet.schema import BOOL, DOUBLE, INTEGER
+from rillet.scratch import shared_dir
 from rillet.sources import framed
 from rillet.streaming import examples, plugins
 
@@ -220,6 +221,45 @@ def frame_scan_resync(spark, sf_dir):
     return framed.frames_of(noisy).select(F.hex("uuid").alias("uuid"), "type", F.col("discarded").cast("int").alias("discarded"))
 
 
+def _written(spark, sf_dir, ordered: bool = False) -> str:
+    """Events as framed files in a folder of their own."""
+    framed.register(spark)
+    path = shared_dir(spark)
+    packed = framed.encoded(event_messages(spark, sf_dir), name="raw")
+    packed = packed.orderBy("event_id").coalesce(1) if ordered else packed
+    packed.select("raw").write.format("framed").mode("append").save(path)
+    return path
+
+
+@query("framed_write_read", f"WITH {EVENTS_SQL} SELECT hex(uuid) AS uuid, ts_ns AS timestamp, type, logger, severity, payload, pid, value, k FROM m")
+def framed_write_read(spark, sf_dir):
+    """Files are written, found again, and read in ranges that begin inside of frames."""
+    back = spark.read.format("framed").option("split", str(1 << 18)).load(_written(spark, sf_dir))
+    read = accessors.read_message
+    return back.select(F.hex("uuid").alias("uuid"), "timestamp", "type", "logger", "severity", "payload", "pid", read("Fields[value]", kind=DOUBLE).alias("value"), read("Fields[k]", kind=INTEGER).alias("k"))
+
+
+@query("framed_count", f"WITH {EVENTS_SQL} SELECT count(*) AS processed, count(*) FILTER (WHERE type = 'error' AND value > 50) AS matched, CAST(0 AS BIGINT) AS discarded FROM m")
+def framed_count(spark, sf_dir):
+    path = _written(spark, sf_dir)
+    back = cat.load(spark, path)
+    return cat.count(back, "Type == 'error' && Fields[value] > 50").crossJoin(cat.discarded(back, path))  # one row each
+
+
+@query("framed_tail", f"WITH {EVENTS_SQL} SELECT hex(uuid) AS uuid, type FROM (SELECT * FROM m ORDER BY event_id DESC LIMIT 100) WHERE severity < 7")
+def framed_tail(spark, sf_dir):
+    return cat.select(cat.load(spark, _written(spark, sf_dir, True)), "Severity < 7", 100).select(F.hex("uuid").alias("uuid"), "type")
+
+
+@query("framed_follow", f"WITH {EVENTS_SQL} SELECT type, count(*) AS n FROM m WHERE severity < 7 GROUP BY type")
+def framed_follow(spark, sf_dir):
+    """A stream over the files, run until it has what is there."""
+    out = shared_dir(spark)
+    stream = cat.follow(spark, _written(spark, sf_dir), "Severity < 7").select("type")
+    cat.followed(stream, lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}"), f"{out}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema("type string").parquet(f"{out}/rows").groupBy("type").agg(F.count("*").alias("n"))
+
+
 @query("decode_errors", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'missing Uuid' WHEN 1 THEN 'tag:30 wiretype:0 position:0' ELSE 'tag:1 wiretype:2 position:0' END AS error FROM events""")
 def decode_errors(spark, sf_dir):
     kinds = F.when(F.col("event_id") % 3 == 0, F.lit(bytearray(b"\x10\x01"))).when(F.col("event_id") % 3 == 1, F.lit(bytearray(b"\xf0"))).otherwise(F.lit(bytearray(b"\x0a\x01\xff")))
@@ -228,17 +268,30 @@ def decode_errors(spark, sf_dir):
 
 @query("encode_uuid", "SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS uuid FROM events")
 def encode_uuid(spark, sf_dir):
+    """Text of 36 characters becomes 16 raw bytes, the first part of each encoded message."""
     text = F.concat_ws("-", *[F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return events(spark, sf_dir).select("event_id", F.lower(F.hex(F.unhex(F.replace(text, F.lit("-"), F.lit(""))))).alias("uuid"))
+    packed = framed.encoded(event_messages(spark, sf_dir).withColumn("uuid", text)).select("event_id", "pb")
+    return packed.select("event_id", F.lower(F.hex(F.substring("pb", 3, 16))).alias("uuid"))
+
+
+def _varint_sql(x: str) -> str:
+    return f"(CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 WHEN {x} < 268435456 THEN 4 ELSE 5 END)"
 
 
-@query("message_size", None)
+@query("message_size", f"""WITH {EVENTS_SQL}, s AS (SELECT event_id, 28 + 2 + strlen(type) + coalesce(2 + strlen(logger), 0) + 2 + 1 + {_varint_sql('strlen(payload)')} + strlen(payload) + coalesce(pid - pid + 2, 0)
+    + 27 + 14 + {_varint_sql('user_id')} + 8 + {_varint_sql('k')} + 12 AS size FROM m)
+  SELECT event_id, CAST(size AS BIGINT) AS size, CAST(size + 4 + {_varint_sql('size')} AS BIGINT) AS framed FROM s""")
 def message_size(spark, sf_dir):
     raw = framed.encoded(event_messages(spark, sf_dir), name="raw")
     return raw.select("event_id", accessors.read_message("size").alias("size"), F.octet_length(accessors.read_message("framed")).cast("long").alias("framed"))
 
 
-@query("text_view", None)
+@query("text_view", f"""WITH {EVENTS_SQL}, u AS (SELECT *, lower(hex(uuid)) AS h, make_timestamp(ts_ns // 1000) AS moment FROM m)
+  SELECT event_id, ':Uuid: ' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || chr(10) || ':Timestamp: ' || strftime(moment, '%Y-%m-%dT%H:%M:%S.') || printf('%09d', ts_ns % 1000000000) || 'Z' || chr(10)
+    || ':Type: ' || type || chr(10) || ':Logger: ' || coalesce(logger, '<nil>') || chr(10) || ':Severity: ' || severity || chr(10) || ':Payload: ' || payload || chr(10) || ':EnvVersion: <nil>' || chr(10)
+    || ':Pid: ' || coalesce(CAST(pid AS VARCHAR), '<nil>') || chr(10) || ':Hostname: <nil>' || chr(10) || ':Fields:' || chr(10)
+    || '    | name: value type: 3 representation: units value: ' || printf('%.17g', value) || chr(10) || '    | name: user_id type: 2 representation: <nil> value: ' || user_id || chr(10)
+    || '    | name: k type: 2 representation: <nil> value: ' || k || chr(10) || '    | name: even type: 4 representation: <nil> value: ' || CASE WHEN even THEN 'true' ELSE 'false' END || chr(10) || chr(10) AS text FROM u""")
 def text_view(spark, sf_dir):
     return cat.text(event_messages(spark, sf_dir), "event_id")
 
@@ -247,6 +300,10 @@ def _price():
     return F.col("l_extendedprice")
 
 
+def _places(found):
+    return F.concat_ws(":", found["first"].cast("string"), found["last"].cast("string"), F.concat_ws(",", found["captures"]))
+
+
 _STRINGS = {
     "len": (lambda: fn.length(F.col("p_name")), "CAST(strlen(p_name) AS INTEGER)"),
     "sub": (lambda: fn.sub(F.col("p_name"), 2, 4), "substring(p_name, 2, 3)"),
@@ -264,6 +321,19 @@ _STRINGS = {
     "gsub_count": (lambda: fn.gsub_count(F.col("p_name"), "%d"), "CAST(len(regexp_extract_all(p_name, '[0-9]')) AS INTEGER)"),
     "gsub_table": (lambda: fn.gsub_table(F.col("p_type"), "%a+", {"STEEL": "iron"}), "regexp_replace(p_type, 'STEEL', 'iron', 'g')"),
     "format": (lambda: fn.format("%05d|%-8s|%.2f|%x", F.col("p_size"), F.col("p_brand"), F.col("p_retailprice"), F.col("p_size")), "printf('%05d|%-8s|%.2f|%x', p_size, p_brand, p_retailprice, p_size)"),
+    "reverse_bytes": (lambda: F.hex(fn.reverse(F.concat(F.lit("é"), "p_brand"))), "hex(encode(reverse(p_brand))) || 'A9C3'"),
+    "byte_range": (lambda: F.array_join(fn.byte_range(F.concat(F.lit("é"), "p_brand"), 1, 3).cast("array<string>"), ","), "'195,169,' || ascii(p_brand)"),
+    "find_pattern": (lambda: fn.concat(fn.find(F.nullif("p_type", F.lit("X")), " (%a+)", 2)["captures"], "|"), "string_split(p_type, ' ')[2]"),
+    "find_places": (lambda: _places(fn.find(F.concat(F.lit("ñ "), "p_type"), "()%a+()")), "'4:' || (3 + strlen(string_split(p_type, ' ')[1])) || ':4,' || (4 + strlen(string_split(p_type, ' ')[1]))"),
+    "find_null": (lambda: fn.find(F.when(F.col("p_size") > 25, F.col("p_name")), "%d+$")["first"], "CASE WHEN p_size > 25 AND regexp_matches(p_name, '[0-9]$') THEN CAST(strlen(p_name) - strlen(regexp_extract(p_name, '[0-9]+$')) + 1 AS INTEGER) END"),
+    "match_balanced": (lambda: fn.match(F.concat(F.lit("f("), "p_name", F.lit("(x))g)")), "%b()"), "'(' || p_name || '(x))'"),
+    "match_init": (lambda: fn.match(F.col("p_type"), "%a+", init=3), "regexp_extract(substring(p_type, 3), '[A-Za-z]+')"),
+    "gsub_limit": (lambda: fn.gsub(F.col("p_type"), "%a+", "<%0>", 1), r"regexp_replace(p_type, '([A-Za-z]+)', '<\1>')"),
+    "gsub_function": (lambda: fn.gsub(F.concat(F.lit("é="), "p_size", F.lit(";")), "%d+", lambda d: int(d) * 2), "'é=' || p_size * 2 || ';'"),
+    "gmatch_pairs": (lambda: F.array_join(F.transform(fn.gmatch_all(F.col("p_type"), "(%a)(%a*)"), lambda m: F.concat_ws("-", m)), " "), r"regexp_replace(p_type, '([A-Za-z])([A-Za-z]*)', '\1-\2', 'g')"),
+    "format_null": (lambda: fn.format("%05d|%s", F.nullif("p_size", F.lit(1)), F.when(F.col("p_size") % 3 > 0, F.col("p_brand"))), "CASE WHEN p_size <> 1 AND p_size % 3 > 0 THEN printf('%05d|%s', p_size, p_brand) END"),
+    "format_long": (lambda: fn.format("%d", F.lit(2**53 + 1) + F.col("p_size").cast("long")), "CAST(9007199254740993 + p_size AS VARCHAR)"),
+    "sort_less": (lambda: fn.concat(fn.sort(F.split("p_type", " "), less=lambda x, y: x > y), ","), "array_to_string(list_reverse_sort(string_split(p_type, ' ')), ',')"),
     "escape": (lambda: fn.escape_binary(F.concat("p_brand", F.lit('"\\'))), "p_brand || '\\\"\\\\'"),
 }
 _MATHS = {
@@ -278,13 +348,17 @@ _MATHS = {
     "modf": (lambda: fn.modf(_price())["fraction"], "l_extendedprice - trunc(l_extendedprice)"), "ldexp": (lambda: fn.ldexp(_price(), F.lit(3)), "l_extendedprice * 8"),
     "frexp": (lambda: fn.frexp(_price())["exponent"], "CAST(floor(log2(l_extendedprice)) + 1 AS INTEGER)"),
     "max": (lambda: stats.greatest(F.col("l_tax"), F.col("l_discount")), "greatest(l_tax, l_discount)"), "min": (lambda: stats.least(F.col("l_tax"), F.col("l_discount")), "least(l_tax, l_discount)"),
+    "lp2_large": (lambda: fn.next_power_of_two(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l_linenumber").cast("int") * 8 - 1)), "CAST(1 AS BIGINT) << CAST(l_linenumber * 8 - 1 AS INTEGER)"),
+    "lp2_null": (lambda: fn.next_power_of_two(F.nullif(F.col("l_quantity").cast("long"), F.lit(5))), "CASE WHEN l_quantity <> 5 THEN CAST(pow(2, ceil(log2(l_quantity))) AS BIGINT) END"),
+    "frexp_null": (lambda: fn.frexp(F.nullif(F.col("l_quantity").cast("double"), F.lit(1.0)))["exponent"], "CASE WHEN l_quantity <> 1 THEN CAST(floor(log2(l_quantity)) + 1 AS INTEGER) END"),
+    "huge_pi": (lambda: F.when(fn.huge() > _price(), fn.pi() * F.col("l_tax")), "pi() * l_tax"),
     "lp2": (lambda: fn.next_power_of_two(F.col("l_quantity").cast("long")), "CAST(pow(2, ceil(log2(l_quantity))) AS BIGINT)"),
 }
 
 
 def _columns(table: str, keys: list[str], part: str, columns: dict, digits: int | None = None):
     for name, (column, sql) in columns.items():
-        rounded = digits is not None and name not in ("log_edge", "divide_zero", "frexp", "lp2")
+        rounded = digits is not None and name not in ("log_edge", "divide_zero", "frexp", "frexp_null", "lp2", "lp2_large", "lp2_null")
         value = (lambda column=column: F.round(column(), digits)) if rounded else column
         text = f"SELECT {', '.join(keys)}, {f'round({sql}, {digits})' if rounded else sql} AS value FROM {table}"
         query(f"{part}_{name}", text)(lambda spark, sf_dir, value=value: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, value().alias("value")))
@@ -294,13 +368,17 @@ _columns("part", ["p_partkey"], "str", _STRINGS)
 _columns("lineitem", ["l_orderkey", "l_linenumber"], "math", _MATHS, 6)
 
 
-@query("math_erf", None)
+_SERIES = "1.1283791670955126 * (x - x * x * x / 3 + x * x * x * x * x / 10 - pow(x, 7) / 42 + pow(x, 9) / 216)"
+
+
+@query("math_erf", f"SELECT l_orderkey, l_linenumber, round({_SERIES}, 9) AS erf, round(1 - {_SERIES}, 9) AS erfc FROM (SELECT *, l_discount AS x FROM lineitem)")
 def math_erf(spark, sf_dir):
+    """Discounts are small, where a few terms of the series are the function."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select("l_orderkey", "l_linenumber", fn.erf(F.col("l_discount")).alias("erf"), fn.erfc(F.col("l_discount")).alias("erfc"))
+    return li.select("l_orderkey", "l_linenumber", F.round(fn.erf(F.col("l_discount")), 9).alias("erf"), F.round(fn.erfc(F.col("l_discount")), 9).alias("erfc"))
 
 
-@query("number_text", None)
+@query("number_text", "SELECT l_orderkey, l_linenumber, rtrim(rtrim(printf('%.8f', x), '0'), '.') AS output, printf('%.14g', x) AS tostring FROM (SELECT *, l_extendedprice / 7 AS x FROM lineitem)")
 def number_text(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.select("l_orderkey", "l_linenumber", fn.number_text(F.col("l_extendedprice") / 7).alias("output"), fn.tostring(F.col("l_extendedprice") / 7).alias("tostring"))
@@ -316,6 +394,13 @@ def date_format(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fn.date("!%Y/%m/%d at %H.%M.%S", _seconds()).alias("iso"), fn.date("day %j of %y, %b", _seconds()).alias("words"))
 
 
+@query("date_words", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 1 THEN strftime(o_orderdate, '%d') || ' apples upper ' || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, ' ') || ', it''s %' END AS literals,
+  strftime(o_orderdate, '%U %W %V %u %w %G') AS weeks FROM orders""")
+def date_words(spark, sf_dir):
+    known = F.when(F.col("o_orderkey") % 7 != 1, _seconds())
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fn.date("%d apples upper %e, it's %%", known).alias("literals"), fn.date("%U %W %V %u %w %G", _seconds()).alias("weeks"))
+
+
 @query("date_table", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS wday, CAST(dayofyear(o_orderdate) AS INTEGER) AS yday FROM orders")
 def date_table(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fn.date_table(_seconds()).alias("t")).select("o_orderkey", "t.year", "t.month", "t.wday", "t.yday")
