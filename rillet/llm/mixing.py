@@ -157,7 +157,7 @@ class Mix:
         at = at.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("begin")).withColumn("hi", F.col("lo") + F.col("size"))
         at = at.withColumn("block", F.explode(F.sequence(F.expr("lo div block_words"), F.expr("(hi - 1) div block_words"))))
         began = F.col("block") * F.col("block_words")
-        self.pieces = at.join(self.blocks, ["skey", "block"]).withColumn("taken", F.least(F.col("hi"), began + F.col("owed")) - F.greatest(F.col("lo"), began)).where("taken > 0")
+        self.pieces = at.join(self.blocks.hint("shuffle_merge"), ["skey", "block"]).withColumn("taken", F.least(F.col("hi"), began + F.col("owed")) - F.greatest(F.col("lo"), began)).where("taken > 0")
 
     def documents(self) -> DataFrame:
         """What the mix takes of each row."""
