@@ -26,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from rillet.schema import HEADERS, MESSAGE_DDL, arrow_fields
-from rillet.sources import codec
+from rillet.sources import codec, wire
 
 SCAN_DDL = f"path string, offset bigint, discarded bigint, {MESSAGE_DDL}, raw binary"
 WINDOW, LOOKBACK = 4 << 20, 1 << 20
@@ -103,21 +103,59 @@ def found(file: pa.NativeFile, begin: int, end: int, most: int, decoded: bool, l
 
 
 def scan(part: Range, options: dict) -> Iterator[pa.RecordBatch]:
+    """Batches of a range's frames. Messages are decoded by batches; where one is none, its bytes are searched on from there."""
     most, decoded = int(options.get("max_message", codec.MAX_MESSAGE)), options.get("decode", "true") != "false"
-    schema = arrow_schema(("path", pa.string()), *FRAME, after=RAW)
     back = max(0, part.begin - min(most + codec.HEADER_SLACK, int(options.get("lookback", LOOKBACK))))
-    rows, reached, held = [], part.begin, 0
-    with opened(part.path) as f:
-        for at, after, message in found(f, back, part.end, most, decoded, part.limit):
-            if at >= part.begin:
-                rows.append({"path": part.path, "offset": at, "discarded": at - reached} | message)
-                held += after - at
-            reached = max(reached, after)
+    schema = arrow_schema(("path", pa.string()), *FRAME, after=RAW)
+    reached = part.begin
+
+    def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+        nonlocal reached
+        raw = pa.array([r[2] for r in rows], pa.binary())
+        columns, errors = wire.decode(raw) if decoded else ([pa.nulls(len(rows), f.type) for f in arrow_fields()], None)
+        if decoded and errors.null_count < len(errors):
+            return None
+        gone = []
+        for at, after, _ in rows:
+            gone.append(at - reached)
+            reached = after
+        around = [pa.array([part.path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array(gone, pa.int64())]
+        return pa.RecordBatch.from_arrays([*around, *columns, raw], schema=schema)
+
+    def whole(begin: int, certain: bool) -> Iterator[pa.RecordBatch | int]:
+        """Batches from ``begin`` on, or the place of one with something that is no message, unless all are ``certain``."""
+        nonlocal reached
+        rows, held, resume = [], 0, begin
+        for at, after, message in found(f, begin, part.end, most, decoded and certain, part.limit):
+            if at < part.begin:
+                reached = max(reached, after)
+                if decoded and not certain and not passes(message["raw"]):
+                    yield begin
+                    return
+                continue
+            rows.append((at, after, message["raw"]))
+            held += after - at
             if len(rows) == 5000 or held > WINDOW:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema)
+                made = batch(rows)
+                yield resume if made is None else made
+                if made is None:
+                    return
+                rows, held, resume = [], 0, after
+        if rows:
+            made = batch(rows)
+            yield resume if made is None else made
+
+    def passes(raw: bytes) -> bool:
+        return wire.decode(pa.array([raw], pa.binary()))[1].null_count == 1
+
+    with opened(part.path) as f:
+        for made in whole(back, False):
+            if isinstance(made, int):
+                if made == back:
+                    reached = part.begin
+                yield from whole(made, True)
+            else:
+                yield made
 
 
 class Reader(DataSourceReader):
@@ -185,8 +223,8 @@ class Writer(DataSourceArrowWriter):
         with system.open_output_stream(path) as f:
             for batch in batches:
                 known = batch.column(batch.schema.get_field_index("raw")).to_pylist() if "raw" in batch.schema.names else [None] * batch.num_rows
-                if None in known:
-                    known = [raw or codec.encode(row) for raw, row in zip(known, batch.to_pylist())]
+                if None in known or b"" in known:
+                    known = [raw or own for raw, own in zip(known, wire.encode(batch).to_pylist())]
                 for raw in known:
                     f.write(codec.frame_header(len(raw)) + raw)
                 n += len(known)
@@ -244,8 +282,7 @@ def encoded(df: DataFrame, framed: bool = False, name: str = "pb") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = batch.select([*HEADERS, "fields"]).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([codec.encode(r, framed) for r in rows], pa.binary())], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, wire.encode(batch, framed)], [*batch.schema.names, name])
 
     df = spread(df)
     return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast("binary")).schema)
@@ -256,32 +293,31 @@ def decoded(df: DataFrame, column: str = "pb", strict: bool = False, others: lis
     schema = StructType.fromDDL(f"{MESSAGE_DDL}, error string")
     schema = StructType([*df.select(*others).schema.fields, *schema.fields]) if others else schema
     # the message's own columns follow the kept ones
-    body = arrow_schema(after=(("error", pa.string()),))
+    names = [*HEADERS, "fields", "error"]
 
     def run(batches):
-        read = codec.decode_strict if strict else codec.decode
         for batch in batches:
-            rows = []
-            for raw in batch.column(batch.schema.get_field_index(column)).to_pylist():
-                try:
-                    rows.append(read(raw) | {"error": None})
-                except codec.DecodeError as e:
-                    rows.append({"error": str(e)})
-            got = pa.RecordBatch.from_pylist(rows, body)
+            got, errors = wire.decode(batch.column(batch.schema.get_field_index(column)), strict)
             kept = [batch.column(batch.schema.get_field_index(o)) for o in others]
-            yield pa.RecordBatch.from_arrays([*kept, *got.columns], [*others, *body.names])
+            yield pa.RecordBatch.from_arrays([*kept, *got, errors], [*others, *names])
 
     return spread(df.select(*others, column)).mapInArrow(run, schema)
 
 
 def frames_of(df: DataFrame, column: str = "chunk", max_message: int = codec.MAX_MESSAGE) -> DataFrame:
     """The frames of each binary row: offset, discarded bytes before each, and the message."""
-    schema = arrow_schema(*FRAME, after=RAW)
-
     def run(batches):
         for batch in batches:
-            rows = [{"offset": at, "discarded": d, "raw": raw} | m for data in batch.column(0).to_pylist() for at, d, raw, m in codec.frames(data or b"", 0, None, max_message)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            chunks = [data or b"" for data in batch.column(0).to_pylist()]
+            # first as if every frame held a message; chunks where one doesn't are searched again, message by message
+            each = [list(codec.frames(data, 0, None, max_message, False)) for data in chunks]
+            columns, errors = wire.decode(pa.array([raw for got in each for _, _, raw, _ in got], pa.binary()))
+            if errors.null_count < len(errors):
+                each = [list(codec.frames(data, 0, None, max_message)) for data in chunks]
+                columns, errors = wire.decode(pa.array([raw for got in each for _, _, raw, _ in got], pa.binary()))
+            rows = [row for got in each for row in got]
+            around = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*around[:2], *columns, around[2]], ["offset", "discarded", *HEADERS, "fields", "raw"])
 
     return spread(df.select(column)).mapInArrow(run, SCAN_DDL.removeprefix("path string, "))
 

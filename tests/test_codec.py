@@ -1,11 +1,12 @@
 import struct
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rillet.schema import MessageError, message, uuid_bytes
-from rillet.sources import codec
+from rillet.schema import HEADERS, MessageError, arrow_fields, message, uuid_bytes
+from rillet.sources import codec, wire
 
 U = b"\x0a\x10" + b"\0" * 16
 T = b"\x10\x00"
@@ -139,3 +140,72 @@ def test_text_view():
     m = message([{"name": "b", "value": b"a\\\x01"}, {"name": "d", "value": [1.5, 2.0]}, {"name": "t", "value": True}], uuid=bytes(16), timestamp=-1, type="x")
     text = text_of(m)
     assert ":Timestamp: 1969-12-31T23:59:59.999999999Z" in text and "value: a\\\\\\x01\n" in text and "value: 1.5|2\n" in text and ":Logger: <nil>" in text and "value: true" in text
+
+
+def odd_messages(n, seed=1):
+    import random
+
+    rng = random.Random(seed)
+    raw = lambda k: bytes(rng.randrange(256) for _ in range(k))
+
+    def value():
+        kind = rng.randrange(5)
+        make = [lambda: rng.choice(["", "x", "é" * 3, "long " * 50]), lambda: raw(rng.randrange(5)), lambda: rng.choice([0, 5, -1, 300, 2**40, -(2**62)]), lambda: rng.random() * 10 ** rng.randrange(9), lambda: rng.random() < 0.5][kind]
+        return {"name": rng.choice(["a", "bb", "ñ"]), "value": [make() for _ in range(rng.choice([1, 1, 2, 5]))], "value_type": kind, "representation": rng.choice([None, "u"])}
+
+    headers = lambda: dict(uuid=raw(16), timestamp=rng.choice([0, 5, -7, 2**60]), type=rng.choice([None, "t", "é"]), logger=rng.choice([None, ""]), severity=rng.choice([None, 0, 7]), payload=rng.choice([None, "p" * 300]), pid=rng.choice([None, -2, 5]), hostname=rng.choice([None, "h"]))  # noqa: E731, C408
+    return [message([value() for _ in range(rng.randrange(6))], **headers()) for _ in range(n)], rng
+
+
+def test_batches_as_single_messages():
+    """Batches are coded to what single messages are, broken ones included."""
+    rows, rng = odd_messages(800)
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(arrow_fields()))
+    for frame in (False, True):
+        assert wire.encode(batch, frame).to_pylist() == [codec.encode(m, frame) for m in rows]
+    raws = [codec.encode(m) for m in rows]
+    for k in range(0, len(raws), 2):
+        changed = bytearray(raws[k])
+        for _ in range(rng.randrange(1, 3)):
+            changed[rng.randrange(len(changed))] = rng.randrange(256)
+        raws[k] = bytes(changed[: rng.choice([len(changed), len(changed), rng.randrange(len(changed) + 1)])])
+    for strict in (False, True):
+        columns, errors = wire.decode(pa.array([b"", *raws, None, b"\x0a"], pa.binary()), strict)
+        got = pa.RecordBatch.from_arrays([*columns, errors], [*HEADERS, "fields", "error"])
+        got.validate(full=True)
+        for row, raw in zip(got.to_pylist(), [b"", *raws, b"", b"\x0a"], strict=True):
+            try:
+                want = (codec.decode_strict if strict else codec.decode)(raw) | {"error": None}
+            except codec.DecodeError as e:
+                want = {"error": str(e)}
+            assert repr(row) == repr({k: want.get(k) for k in row})
+    assert wire.encode(batch.slice(0, 0)).to_pylist() == [] and len(wire.decode(pa.array([], pa.binary()))[1]) == 0
+    sliced = batch.slice(100, 50)
+    assert wire.encode(sliced).to_pylist() == [codec.encode(m) for m in rows[100:150]]
+    with pytest.raises(MessageError):
+        wire.encode(pa.RecordBatch.from_pylist([rows[0] | {"fields": [{"name": "n", "value_type": 2, "value_integer": []}]}], pa.schema(arrow_fields())))
+
+
+def test_scan_of_broken_files(tmp_path):
+    """Ranges of any length give the frames of the whole file, where some frames hold no message."""
+    from rillet.sources import framed
+
+    rows, rng = odd_messages(60, 4)
+    data = b""
+    for m in rows:
+        raw = codec.encode(m)
+        if rng.random() < 0.2:
+            inner = codec.encode(rows[0])
+            raw = b"\xf0" + codec.frame_header(len(inner)) + inner  # a frame of no message, which holds one that is
+        data += rng.choice([b"", b"noise", b"\x1e\x02\x08"]) + codec.frame_header(len(raw)) + raw
+    path = str(tmp_path / "log")
+    open(path, "wb").write(data + b"\x1e\x02\x08\x7f\x1f")
+    want = [(at, gone, raw) for at, gone, raw, _ in codec.frames(data)]
+    for step in (len(data), 1000, 97):
+        got = []
+        for a in range(0, len(data), step):
+            for batch in framed.scan(framed.Range(path, a, min(a + step, len(data))), {"max_message": "4000"}):
+                got += zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(batch.schema.get_field_index("raw")).to_pylist())
+        assert [(at, raw) for at, _, raw in got] == [(at, raw) for at, _, raw in want]
+        if step == len(data):
+            assert got == want
