@@ -1,15 +1,16 @@
 """Capture-less Lua patterns over bytes: translated to Java regular expressions, or matched in Python.
 
-A pattern becomes one of: a literal to search, an anchored literal, a regular
-expression, or, for balanced matches (%b), a Python matcher. Strings are
-sequences of bytes. A regular expression whose classes hold only ASCII gives the
+A pattern becomes one of: a literal to search, an anchored literal, or a regular
+expression. Balanced matches (%b) are regular up to ``DEPTH`` brackets; texts with
+more of them, and patterns whose brackets aren't ASCII, go to a Python matcher.
+Strings are sequences of bytes. A regular expression whose classes hold only ASCII gives the
 same answer on characters; others are applied to the bytes read as Latin-1.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,8 @@ CLASSES = {
     "u": {*_UPPER}, "w": {*_LOWER, *_UPPER, *_DIGIT}, "x": {*_DIGIT, *range(97, 103), *range(65, 71)}, "z": {0},
 }
 EVERY = frozenset(range(256))
+#: Nested brackets that a regular expression tells.
+DEPTH = 8
 
 
 class Malformed(ValueError):
@@ -124,11 +127,26 @@ def java_set(chars: frozenset) -> str:
 
 @dataclass(frozen=True)
 class Translation:
-    """kind: never, literal, prefix, suffix, regex or python; bytewise: the regex is for Latin-1 text."""
+    """kind: never, literal, prefix, suffix, regex or python; bytewise: the regex is for Latin-1 text.
+
+    opening: brackets of which a text may have ``DEPTH`` at most, or the regex doesn't decide.
+    """
 
     kind: str
     text: str = ""
     bytewise: bool = False
+    opening: tuple[str, ...] = ()
+
+
+def balanced(left: int, right: int) -> str:
+    """A regular expression of what is balanced with at most ``DEPTH`` brackets inside one another."""
+    x, y = f"\\x{left:02x}", f"\\x{right:02x}"
+    if left == right:
+        return f"{x}[^{x}]*+{x}"
+    inner = f"[^{x}{y}]*+"
+    for _ in range(DEPTH - 1):
+        inner = f"(?:[^{x}{y}]++|{x}{inner}{y})*+"
+    return f"{x}{inner}{y}"
 
 
 def translate(pattern: str | bytes, plain: bool = False) -> Translation:
@@ -139,7 +157,8 @@ def translate(pattern: str | bytes, plain: bool = False) -> Translation:
         anchored, items, end = parse(raw)
     except Malformed:
         return Translation("never")
-    if any(i.kind == "balance" for i in items):
+    pairs = [i.pair for i in items if i.kind == "balance"]
+    if any(max(p) > 127 for p in pairs):
         return Translation("python")
     single = [i for i in items if i.kind == "set" and len(i.chars) == 1 and not i.repeat]
     if len(single) == len(items) and items and anchored != end:
@@ -152,13 +171,15 @@ def translate(pattern: str | bytes, plain: bool = False) -> Translation:
     for i in items:
         bytewise |= max(i.chars, default=0) > 127
         body = java_set(i.chars)
-        if i.kind == "frontier":
+        if i.kind == "balance":
+            out.append(balanced(*i.pair))
+        elif i.kind == "frontier":
             rest = java_set(EVERY - i.chars)
             out.append(f"(?<={rest})" if 0 in i.chars else f"(?<!{body})")
             out.append(f"(?={body}|\\z)" if 0 in i.chars else f"(?={body})")
         else:
             out.append(body + {"-": "*?"}.get(i.repeat, i.repeat))
-    return Translation("regex", "".join(out) + ("\\z" if end else ""), bytewise)
+    return Translation("regex", "".join(out) + ("\\z" if end else ""), bytewise, tuple(sorted({f"\\x{a:02x}" for a, b in pairs if a != b})))
 
 
 def matches(subject: bytes, pattern: bytes, plain: bool = False) -> bool:
@@ -230,9 +251,15 @@ def match(column: Column, pattern: str | bytes, plain: bool = False, binary: boo
     if t.kind == "python":
         return udf(pattern.encode() if isinstance(pattern, str) else pattern)(column if binary else column.cast("binary"))
     if t.kind == "regex":
+        raw = column if binary else column.cast("binary")
         if binary or t.bytewise:
-            column = F.decode(column if binary else column.cast("binary"), "ISO-8859-1")
-        return column.rlike(t.text)
+            column = F.decode(raw, "ISO-8859-1")
+        found = column.rlike(t.text)
+        if not t.opening:
+            return found
+        deep = reduce(lambda a, b: a | b, [F.regexp_count(column, F.lit(x)) > DEPTH for x in t.opening])
+        own = udf(pattern.encode() if isinstance(pattern, str) else pattern)(F.when(deep, raw))  # null for all others
+        return F.when(deep, own).otherwise(found)
     text = t.text.encode("utf-8", "surrogateescape")
     needle = F.lit(bytearray(text)) if binary else F.lit(t.text)
     return {"literal": F.contains, "prefix": F.startswith, "suffix": F.endswith}[t.kind](column, needle)

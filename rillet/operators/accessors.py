@@ -45,9 +45,12 @@ def read_number(variable: str, fi: int = 0, ai: int = 0) -> Column:
     return F.coalesce(read_message(variable, fi, ai, INTEGER).cast("double"), read_message(variable, fi, ai, DOUBLE))
 
 
-def header_defaults(df: DataFrame, config: dict) -> DataFrame:
-    """Logger, hostname and pid from ``config`` where a message has none."""
-    return df.withColumns({h: F.coalesce(F.col(h), F.lit(config[h]).cast(df.schema[h].dataType)) for h in ("logger", "hostname", "pid") if h in config})
+def header_defaults(df: DataFrame, config: dict, now: Column | None = None) -> DataFrame:
+    """Logger, hostname and pid from ``config`` where a message has none; where it has no timestamp or uuid, now and a random one."""
+    own = {h: F.coalesce(F.col(h), F.lit(config[h]).cast(df.schema[h].dataType)) for h in ("logger", "hostname", "pid") if h in config}
+    now = F.unix_micros(F.current_timestamp()) * 1000 if now is None else now
+    always = {"timestamp": F.coalesce("timestamp", now), "uuid": F.coalesce("uuid", F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit(""))))}
+    return df.withColumns(own | {h: c for h, c in always.items() if h in df.columns})
 
 
 def restricted_headers(df: DataFrame, config: dict, now: Column | None = None) -> DataFrame:

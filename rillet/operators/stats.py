@@ -32,12 +32,16 @@ def match_counts(df: DataFrame, condition: Column) -> DataFrame:
 def plugin_stats(calls: DataFrame, output_plugin: bool = False) -> DataFrame:
     """Per plugin: counts, failures and times of its calls (plugin, rv, seconds, messages, bytes).
 
-    A failure is rv -1; an output's retries (-3) aren't counted as processed.
+    A failure is rv -1; an output's retries (-3) aren't counted as processed. A
+    column ``timer`` tells calls of timer events, which have times of their own.
     """
-    counted = F.col("rv") != -3 if output_plugin else F.lit(True)
+    timer = F.col("timer") if "timer" in calls.columns else F.lit(False)
+    counted = ~timer & (F.col("rv") != -3 if output_plugin else F.lit(True))
+    seconds, ticks = F.when(~timer, F.col("seconds")), F.when(timer, F.col("seconds"))
+    more = [running_mean(ticks).alias("te_avg"), running_sd(ticks).alias("te_sd")] if "timer" in calls.columns else []
     return calls.groupBy("plugin").agg(
         F.sum("messages").alias("im_cnt"), F.sum("bytes").alias("im_bytes"), F.count_if(counted).alias("pm_cnt"), F.count_if(F.col("rv") == -1).alias("pm_failures"),
-        running_mean(F.col("seconds")).alias("pm_avg"), running_sd(F.col("seconds")).alias("pm_sd"), F.max("bytes").alias("out_max"),
+        running_mean(seconds).alias("pm_avg"), running_sd(seconds).alias("pm_sd"), F.max("bytes").alias("out_max"), *more,
     )
 
 

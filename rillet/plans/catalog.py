@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillet.functions import scalar as fn
-from rillet.operators import accessors, cat, stats
+from rillet.operators import accessors, cat, routing, stats
 from rillet.operators.matcher import matched, matcher
 from rillet.plans.adapters import EVENTS_SQL, FLAT, document_messages, event_messages, events, order_messages
 from rillet.schema import BOOL, DOUBLE, INTEGER
@@ -77,6 +77,8 @@ MATCHES = {
     "field_int": ("Fields[user_id] == 42 || Fields[k] != 7", "user_id = 42 OR k <> 7"),
     "field_true": ("Fields[even] == TRUE", "even"),
     "field_false": ("Fields[even] != TRUE", "NOT even"),
+    "field_is_false": ("Fields[even] == FALSE", "NOT even"),
+    "payload_balanced_inside": ("Payload =~ '%b{}' && Payload =~ '\":%s*%f[%d]%d+%b{}$' || Payload =~ '^%b{}$' && Fields[k] > 90", "k > 90"),
     "field_exists": ("Fields[k] != NIL", "k IS NOT NULL"),
     "field_missing": ("Fields[missing] != 'x'", "FALSE"),
     "field_missing_nil": ("Fields[missing] == NIL", "TRUE"),
@@ -431,6 +433,26 @@ def lookup_enrichment(spark, sf_dir):
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
+@query("fan_out", f"""WITH {EVENTS_SQL} SELECT event_id, 'errors' AS rule FROM m WHERE type = 'error' UNION ALL SELECT event_id, 'early' FROM m WHERE pid IS NULL OR pid < 2
+  UNION ALL SELECT event_id, 'large' FROM m WHERE value > 60""")
+def fan_out(spark, sf_dir):
+    """Every message to each rule that it passes."""
+    return routing.fan_out(events(spark, sf_dir), {"errors": "Type == 'error'", "early": "Pid < 2", "large": "Fields[value] > 60"}, FLAT).select("event_id", "rule")
+
+
+@query("enrich_messages", f"WITH {EVENTS_SQL} SELECT event_id, n_name AS nation, r_name AS region FROM m LEFT JOIN nation ON user_id % 30 = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def enrich_messages(spark, sf_dir):
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    known = routing.enrich(events(spark, sf_dir), nation, F.col("f_user_id") % 30, {"nation": "n_name", "region_key": "n_regionkey"}, "n_nationkey")
+    return routing.enrich(known, region, F.col("region_key"), {"region": "r_name"}, "r_regionkey").select("event_id", "nation", "region")
+
+
+@query("timer_stats", f"WITH {EVENTS_SQL} SELECT type AS plugin, count(*) FILTER (WHERE NOT even) AS pm_cnt, round(avg(value) FILTER (WHERE NOT even), 6) AS pm_avg, round(avg(value) FILTER (WHERE even), 6) AS te_avg, round(coalesce(stddev_samp(value) FILTER (WHERE even), 0), 6) AS te_sd FROM m GROUP BY type")
+def timer_stats(spark, sf_dir):
+    calls = events(spark, sf_dir).select(F.col("type").alias("plugin"), F.lit(0).alias("rv"), F.col("f_value").alias("seconds"), F.lit(1).alias("messages"), F.lit(0).alias("bytes"), F.col("f_even").alias("timer"))
+    return stats.plugin_stats(calls).select("plugin", "pm_cnt", *[F.round(c, 6).alias(c) for c in ("pm_avg", "te_avg", "te_sd")])
+
+
 @query("event_windows", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """An extension: event-time windows over messages."""

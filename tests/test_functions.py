@@ -105,3 +105,19 @@ def test_nulls_and_large_numbers(spark):
     assert got[1][0] == f"{2**53 + 1} é" and got[1][2] == "nan" and got[1][3] == "A9C3" and tuple(got[1][4])[:2] == (1, 1) and got[1][5] == "1" and got[1][8] == [0xC3, 0xA9]
     row = spark.range(1).select(*[fn.next_power_of_two(F.lit(2**k)) for k in (0, 1, 29, 31, 39, 47, 51, 55, 62)], fn.next_power_of_two(F.lit(0)), fn.next_power_of_two(F.lit(2**55 + 1)), fn.modf(F.lit(float("inf")))["fraction"], fn.date("%d apples upper, %e|%C|%z", F.lit(0)), fn.difftime(F.lit(5), F.lit(3))).first()
     assert tuple(row) == (1, 2, 2**29, 2**31, 2**39, 2**47, 2**51, 2**55, 2**62, 0, 2**56, 0.0, "01 apples upper,  1|19|+0000", 2.0)
+
+
+def test_enrichment(spark):
+    from rillet.operators import routing
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, k string")
+    table = spark.createDataFrame([("a", 5, "x"), ("a", 4, "y"), (None, 1, "n")], "name string, v int, w string")
+    got = {r.id: (r.v, r.w) for r in routing.enrich(df, table, F.col("k"), {"v": "v", "w": "w"}, "name").collect()}
+    assert got == {1: (4, "y"), 2: (None, None), 3: (None, None)}
+    assert df.select(F.size(routing.rules_that_hold({}))).first()[0] == 0
+
+
+def test_header_defaults(spark):
+    df = spark.createDataFrame([(None, None, None, 7, "h"), (bytearray(16), 5, "l", None, None)], "uuid binary, timestamp bigint, logger string, pid int, hostname string")
+    a, b = accessors.header_defaults(df, {"logger": "cfg", "pid": 1}, F.lit(99)).collect()
+    assert (len(a.uuid), a.timestamp, a.logger, a.pid, a.hostname) == (16, 99, "cfg", 7, "h") and (bytes(b.uuid), b.timestamp, b.logger, b.pid, b.hostname) == (bytes(16), 5, "l", 1, None)

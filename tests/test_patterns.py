@@ -40,9 +40,9 @@ def test_strength_reduction():
 def test_columns_agree_with_matcher(spark):
     from pyspark.sql import functions as F
 
-    subjects = sorted({s for s, _ in HIT + MISS} | {"", "a\nb", "x" * 300, "漢字"})
+    subjects = sorted({s for s, _ in HIT + MISS} | {"", "a\nb", "x" * 300, "漢字", "{" * 20 + "}" * 20, "{" * 20 + "}" * 19, "(a(b)c", "((((((((a))))))))b", "(((((((((a)))))))))b", "é(é(x)y)", "{a" * 8 + "}" * 8, "(" + "a()" * 5000 + ")"})
     df = spark.createDataFrame([(s, bytearray(s.encode())) for s in subjects], "s string, b binary")
-    patterns = [p for _, p in HIT + MISS] + BROKEN + ["[%w_]+", "%S-x", "%W", "[^%d%s]", "a*b+c?", ".-$"]
+    patterns = [p for _, p in HIT + MISS] + BROKEN + ["[%w_]+", "%S-x", "%W", "[^%d%s]", "a*b+c?", ".-$", "^%b{}$", "%b()b", "^.-%b()", "%b()$", "%b{}%b{}", "é%b()", "[^a]%b()y"]
     row = df.select(F.struct("s", *[lp.match(F.col("s"), p).alias(f"s{k}") for k, p in enumerate(patterns)], *[lp.match(F.col("b"), p, binary=True).alias(f"b{k}") for k, p in enumerate(patterns)]).alias("r"))
     for (r,) in row.collect():
         for k, p in enumerate(patterns):
