@@ -15,8 +15,9 @@ candidates on the chain from there are the records. Magic inside payloads may
 make candidates, but nothing on the chain leads to them. A chain that ends
 before its file does is an error.
 
-Null html is an empty payload, a null url has no target. Empty tables write no
-archive and read no record. Columns besides page_id, url and html are ignored.
+Null html is an empty payload, a null url has no target; payloads of any length
+are one record. Empty tables write no archive and read no record. Columns besides
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import HOT, small_batches
+from rillet.llm.common import join_groups, marked, small_batches
 from rillet.scratch import cut, shared_dir
 
 LEAST = 1000
@@ -47,24 +48,23 @@ SCAN = "path string, part int, records array<struct<offset:long,next:long,exit:l
 
 
 def typed(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, sha1, and refers_to where the page is a revisit."""
+    """page_id, url, html, sha1, and refers_to where the page is a revisit.
+
+    Payloads whose digest repeats are compared as bytes, so that different ones
+    of one digest stay apart; no others are shuffled.
+    """
+    folder = shared_dir(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    long = rows.where(F.octet_length("html") >= LEAST).select("page_id", "sha1")
-    groups = long.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = cut(groups, shared_dir(pages.sparkSession), "copies")
-    least = max(long.count() // HOT, 1)
-    # fewer than HOT groups hold over one in HOT rows each
-    hot = F.broadcast(groups.where(F.col("n") > least).select(F.col("sha1").alias("_h"), F.col("first").alias("_first")))
-    marked = rows.join(hot, F.col("sha1") == F.col("_h"), "left")
-    done = marked.where("_h is not null").select(*rows.columns, F.col("_first").alias("first"))
-    rest = marked.where("_h is null").select(*rows.columns)
-    if not groups.where(F.col("n") <= least).isEmpty():
-        rest = rest.join(groups.where(F.col("n") <= least).select("sha1", "first"), "sha1", "left").select(*rows.columns, "first")
-    else:
-        rest = rest.withColumn("first", F.lit(None).cast("long"))
-    both = done.unionByName(rest)
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= LEAST)
+    long = rows.where(F.octet_length("html") >= LEAST).select("page_id", "html", "sha1")
+    several = cut(long.groupBy("sha1").count().where("count > 1").select("sha1"), folder, "several")
+    groups = marked(long, "sha1", several).where("_in").groupBy("sha1", "html").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = cut(groups.select("sha1", F.md5("html").alias("_md5"), "first", "n"), folder, "copies")
+    told = marked(rows, "sha1", several).withColumn("_in", F.col("_in") & (F.octet_length("html") >= LEAST))
+    open_ = told.where("_in").drop("_in").withColumn("_md5", F.md5("html"))
+    found = join_groups(open_, groups, ["sha1", "_md5"], "n", long.count(), "left").select(*rows.columns, "first")
+    both = found.unionByName(told.where("not _in").select(*rows.columns, F.lit(None).cast("long").alias("first")))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return both.select(*rows.columns, F.when(again, F.col("first")).alias("refers_to"))
 
 

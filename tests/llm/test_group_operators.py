@@ -327,7 +327,7 @@ def test_warc(spark, duck, compress, size):
 
 
 def test_warc_hot(spark, duck, monkeypatch):
-    monkeypatch.setattr(warc, "HOT", 4)
+    monkeypatch.setattr("rillet.llm.common.HOT", 4)
     rows = [(i, "u", ("h" * 1200 if i % 2 else f"{i % 6}" * 1100)) for i in range(40)]
     folder = shared_dir(spark)
     got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), folder).drop("path", "offset")
