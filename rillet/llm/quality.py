@@ -8,10 +8,11 @@ all trees at once.
 
 The fit uses at most ``ROWS`` labelled documents, those with the smallest hash
 of doc_id; scores are computed for all rows and whole texts. Null and empty
-texts have all statistics 0 and score like any row. Labels that are null or
-without a document teach nothing; for several labels of a document the lowest
-counts, and of several texts the one with the smallest hash teaches; with no labels every score is 0.5. Repeated rows and ids are scored one
-by one.
+texts have all statistics 0 and score like any row, texts of any length theirs.
+Labels that are null or without a document teach nothing; for several labels of a
+document the lowest counts, and of several texts the one with the smallest hash
+teaches; with no labels, or empty tables, every score is 0.5. Repeated rows and
+ids are scored one by one. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations

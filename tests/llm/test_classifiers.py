@@ -104,7 +104,7 @@ def test_boosting_by_hand(monkeypatch):
 # 9
 def plain_grams(text):
     """What a text's features stand for, in the order of their kinds, with how often each is there."""
-    words = [lower(w) for w in ALNUM.findall(text.encode())]
+    words = ALNUM.findall(lower(text.encode()))
     out = [[("w", w) for w in words]]
     out += [[("stem", size, w[:size]) for w in words if len(w) > size] for size in toxicity.STEMS]
     out += [[("pair", gap, a, b) for a, b in zip(words, words[gap:])] for gap in (1, 2)]
