@@ -54,6 +54,18 @@ def test_spans(spark, edges, nothing):
     assert [r.decoded for r in pieces.decode(ids, PIECES).collect()] == [library.decode([1724, 338]), "", ""]
 
 
+def test_covered():
+    """Told for many texts at once as by their spans, and false where a piece is missing."""
+    code = pieces.encoder(PIECES)
+    raw = [(t or "").encode() for t in ["", " ▁▁  x ", "\n\n é ", "the quick  brown fox", "漢字 😀", " "]]
+    ids = [x for x, _ in code.encode([r.decode() for r in raw])]
+    assert code.covered(raw, ids) == [True] * len(raw) and code.covered([], []) == []
+    assert code.covered(raw, [x[:-1] for x in ids])[1:] == [False] * (len(raw) - 1)
+    for r, x in zip(raw, ids):
+        begin, end = code.spans(r, x)
+        assert not len(x) or (begin[0] == 0 and end[-1] == len(r) and (begin[1:] == end[:-1]).all())
+
+
 def test_borders():
     code, rng = pieces.encoder(PIECES), random.Random(5)
     parts = [" ", "  ", "\n", "a", "the", "▁", "é", "\t", "漢", "😀", "<s>", "\0", "x1"]
