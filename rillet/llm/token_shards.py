@@ -54,8 +54,8 @@ MOST_TASKS = 20_000
 #: Frames that lie together are read in windows of so many bytes.
 WINDOW_BYTES = 8 << 20
 
-WORDS = 300_000
-PARTS = 400_000
+WORDS = 700_000
+PARTS = 600_000
 
 
 class WordCoder:
