@@ -31,6 +31,8 @@ from rillet.llm.common import small_batches
 from rillet.llm.textscan import buffers
 
 SPACE = "▁"
+#: Texts are normalised in parts of about so many bytes, each of which takes some 100 bytes of memory.
+WINDOW = 1 << 17
 #: The most parts that a worker remembers; two workers share an executor's memory with its heap.
 WORDS = 300_000
 
@@ -67,8 +69,9 @@ class Normalizer:
     def __init__(self, charsmap: bytes = b"", dummy_prefix: bool = True, remove_extra: bool = False, escape: bool = True):
         self.dummy_prefix, self.remove_extra, self.space = dummy_prefix, remove_extra, (SPACE if escape else " ").encode()
         size = struct.unpack_from("<I", charsmap)[0] if charsmap else 0
-        self.units = struct.unpack_from(f"<{size // 4}I", charsmap, 4) if charsmap else ()
-        self.values = charsmap[4 + size :]
+        self.units = np.frombuffer(charsmap, "<u4", size // 4, 4) if charsmap else np.empty(0, np.uint32)
+        self.values = np.frombuffer(charsmap[4 + size :], np.uint8)
+        self.stops = np.flatnonzero(self.values == 0)
 
     @classmethod
     def of_model(cls, model: bytes) -> Normalizer:
@@ -76,49 +79,84 @@ class Normalizer:
         got = dict(fields(spec))
         return cls(got.get(2, b""), bool(got.get(3, 1)), bool(got.get(4, 1)), bool(got.get(5, 1)))
 
-    def longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
-        """The replacement of the longest key that begins at ``at``, and the key's length."""
-        units, found = self.units, None
-        if not units:
-            return None
-        node = (units[0] >> 10) << ((units[0] & 512) >> 6)
-        for k in range(at, len(data)):
-            node ^= data[k]
-            unit = units[node]
-            if unit & 0x800000FF != data[k]:
-                break
-            node ^= (unit >> 10) << ((unit & 512) >> 6)
-            if unit >> 8 & 1:
-                found = units[node] & 0x7FFFFFFF, k + 1 - at
-        if found is None:
-            return None
-        start = found[0]
-        return self.values[start : self.values.index(b"\0", start)], found[1]
+    def longest(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place ``begin`` the replacement of the longest key there that goes no further than ``end``, or -1; and the key's length, or 0.
+
+        All places take a step in the trie at once.
+        """
+        value, size = np.full(len(begin), -1), np.zeros(len(begin), np.int64)
+        if not len(self.units):
+            return value, size
+        root = self.units[0]
+        live, at = np.arange(len(begin)), begin
+        node = np.full(len(begin), (root >> 10) << ((root & 512) >> 6), np.uint32)
+        while len(live):
+            inside = at < end[live]
+            live, at, node = live[inside], at[inside], node[inside]
+            byte = data[at]
+            node = node ^ byte
+            unit = self.units[node]
+            on = unit & 0x800000FF == byte
+            live, at, node, unit = live[on], at[on] + 1, node[on], unit[on]
+            node = node ^ ((unit >> 10) << ((unit & 512) >> 6))
+            leaf = unit >> 8 & 1 == 1
+            found = live[leaf]
+            value[found], size[found] = self.units[node[leaf]] & 0x7FFFFFFF, at[leaf] - begin[found]
+        return value, size
+
+    def forms(self, data: np.ndarray, bounds: np.ndarray, prefix: bool, window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The normal forms of texts, which lie between ``bounds`` in ``data``, one after another in parts.
+
+        A part has the place where its sources end, its bytes, and for each of
+        them the place where its source (a key or a character) begins. White
+        space isn't removed yet.
+        """
+        a = 0
+        while a < len(data):
+            b = min(a + window, len(data))
+            while b < len(data) and data[b] & 0xC0 == 0x80:
+                b += 1
+            begin = a + np.flatnonzero(data[a:b] & 0xC0 != 0x80)
+            size = np.diff(begin, append=b)
+            value, length = self.longest(data, begin, bounds[np.searchsorted(bounds, begin, "right")] if len(self.units) else begin)
+            upto, keep = b, np.ones(len(begin), bool)
+            for k in np.flatnonzero(length > size).tolist():
+                if keep[k]:
+                    # a key of several characters hides the keys that begin within it
+                    upto = int(begin[k] + length[k])
+                    keep[k + 1 : np.searchsorted(begin, upto)] = False
+            begin, size, value = begin[keep], size[keep], value[keep]
+            # each source's bytes are those of the text, or those of its replacement
+            pool = np.concatenate([data[a:b], self.values, np.array([0x20], np.uint8)])
+            there = begin - a
+            new = np.flatnonzero(value >= 0)
+            there[new], size[new] = b - a + value[new], self.stops[np.searchsorted(self.stops, value[new])] - value[new]
+            if prefix:
+                first = bounds[slice(*np.searchsorted(bounds, (a, b)))]
+                first = first[np.diff(first, append=-1) != 0]  # an empty text begins where the next does
+                at = np.searchsorted(begin, first)
+                begin, there, size = np.insert(begin, at, first), np.insert(there, at, len(pool) - 1), np.insert(size, at, 1)
+            upper = np.cumsum(size)
+            body = pool[np.repeat(there - upper + size, size) + np.arange(upper[-1] if len(upper) else 0)]
+            where = np.repeat(begin, size)
+            if len(self.space) > 1:
+                wide = np.where(body == 0x20, len(self.space), 1)
+                spaces = (np.cumsum(wide) - wide)[body == 0x20]
+                body, where = np.repeat(body, wide), np.repeat(where, wide)
+                body[spaces[:, None] + np.arange(len(self.space))] = np.frombuffer(self.space, np.uint8)
+            a = max(b, upto)
+            yield a, body, where
 
     def __call__(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normal form, and for each of its bytes (and its end) the place in ``text``."""
         if not text:
             return b"", np.zeros(1, np.int64)
-        if not self.units and not self.remove_extra:
-            return self.identity(text)
-        out, where, at = [], [], 0
-        while at < len(text):
-            found = self.longest(text, at)
-            if found is None:
-                lead = text[at]
-                size = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                found = text[at : at + size], size
-            for k in range(len(found[0])):
-                byte = found[0][k : k + 1]
-                byte = self.space if byte == b" " else byte
-                out.append(byte)
-                where.extend([at] * len(byte))
-            at += found[1]
-        body, places = b"".join(out), np.array([*where, len(text)], np.int64)
+        parts = list(self.forms(np.frombuffer(text, np.uint8), np.array([0, len(text)]), self.dummy_prefix and not self.remove_extra))
+        body, places = b"".join(p[1].tobytes() for p in parts), np.concatenate([*[p[2] for p in parts], [len(text)]])
         if self.remove_extra:
             body, places = self.squeeze(body, places)
-        if self.dummy_prefix and body:
-            body, places = self.space + body, np.concatenate([np.full(len(self.space), places[0]), places])
+            if self.dummy_prefix and body:
+                body, places = self.space + body, np.concatenate([np.full(len(self.space), places[0]), places])
         return body, places
 
     def squeeze(self, body: bytes, places: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -137,14 +175,6 @@ class Normalizer:
         kept = np.flatnonzero(keep)
         return bytes(np.frombuffer(body, np.uint8)[kept]), np.append(places[kept], places[end] if end < len(body) else places[-1])
 
-    def identity(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        body = text.replace(b" ", self.space)
-        raw = np.frombuffer(text, np.uint8)
-        places = np.repeat(np.arange(len(raw)), np.where(raw == 0x20, len(self.space), 1))
-        if self.dummy_prefix:
-            body, places = self.space + body, np.concatenate([np.zeros(len(self.space), np.int64), places])
-        return body, np.append(places, len(raw))
-
 
 class Encoder:
     def __init__(self, path: str):
@@ -163,7 +193,7 @@ class Encoder:
                 inner |= kinds[-1] in (1, 4) and (SPACE in text.lstrip(SPACE) or "\n" in text)
         self.sizes, self.kinds = np.array(sizes, np.int32), np.array(kinds)
         bytewise = any(k == 6 for k in kinds)
-        self.divides = bytewise and not inner and not self.normal.units and not self.normal.remove_extra and self.normal.dummy_prefix and self.normal.space == SPACE.encode()
+        self.divides = bytewise and not inner and not len(self.normal.units) and not self.normal.remove_extra and self.normal.dummy_prefix and self.normal.space == SPACE.encode()
         if self.divides:
             ids = self.library.encode("\n")
             self.space_id, self.line_ids = ids[0], ids[1:]
@@ -245,7 +275,7 @@ class Encoder:
         Where the normal form only widens spaces, that is so when the pieces are
         as long as the normal form, which is told for all texts at once.
         """
-        if self.normal.units or self.normal.remove_extra:
+        if len(self.normal.units) or self.normal.remove_extra:
             out = []
             for raw, x in zip(texts, ids):
                 begin, end = self.spans(raw, x)

@@ -66,6 +66,39 @@ def test_covered():
         assert not len(x) or (begin[0] == 0 and end[-1] == len(r) and (begin[1:] == end[:-1]).all())
 
 
+def odd_texts(n, seed=6):
+    rng = random.Random(seed)
+    parts = [" ", "  ", "\n", "a", "the", "▁", "é", "e\u0301", "\t", "漢", "😀", "ꙮ", "🧿", "ﬁ", "㍿", "½", "ｶﾞ", "<s>", "\0", "\x01", "x1"]
+    return ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(n)]
+
+
+def test_spans_of_library():
+    """Each piece has the span that the library gives it, also where several pieces are the bytes of one character."""
+    code, texts = pieces.Encoder(PIECES), odd_texts(2000)
+    raw, ids = [t.encode() for t in texts], [x for x, _ in code.encode(texts)]
+    want = [(p.begin, p.end) for r in raw for p in code.library.encode(r, return_type="proto").pieces]
+    assert [span for r, x in zip(raw, ids) for span in zip(*(v.tolist() for v in code.spans(r, x)))] == want
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc"])
+def test_spans_of_compiled_map(rule, tmp_path):
+    """The same for models with and without a map, in windows of any size."""
+    texts = odd_texts(600, 8)
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter([t for t in texts if "\0" not in t] * 3), model_prefix=str(tmp_path / "m"), vocab_size=400, model_type="bpe", byte_fallback=True, normalization_rule_name=rule, remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2
+    )
+    code = pieces.Encoder(str(tmp_path / "m.model"))
+    assert bool(len(code.normal.units)) == (rule != "identity")
+    raw, ids = [t.encode() for t in texts], code.library.encode(texts)
+    want = [(p.begin, p.end) for r in raw for p in code.library.encode(r, return_type="proto").pieces]
+    assert [span for r, x in zip(raw, ids) for span in zip(*(v.tolist() for v in code.spans(r, x)))] == want
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = list(code.normal.forms(data, bounds, True))
+    for size in (1, 7, 100):
+        parts = list(code.normal.forms(data, bounds, True, size))
+        assert len(parts) > 1 and all((np.concatenate([p[k] for p in parts]) == np.concatenate([p[k] for p in whole])).all() for k in (1, 2))
+
+
 def test_borders():
     code, rng = pieces.encoder(PIECES), random.Random(5)
     parts = [" ", "  ", "\n", "a", "the", "▁", "é", "\t", "漢", "😀", "<s>", "\0", "x1"]
