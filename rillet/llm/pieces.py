@@ -262,31 +262,64 @@ class Encoder:
 
     def spans(self, text: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The original bytes of each piece, begin and end; the prefix that the model adds has none."""
-        body, places = self.normal(text)
-        sizes = self.sizes[ids] if ids else np.empty(0, np.int32)
-        ends = np.cumsum(sizes)
-        if len(ends) and ends[-1] != len(body):
+        begin, end, tiled = self.project([text], [ids])
+        if not tiled.all():
             raise ValueError("pieces don't tile the normal form")
-        return places[ends - sizes], places[ends]
+        return begin, end
 
-    def covered(self, texts: list[bytes], ids: list[list[int]]) -> list[bool]:
-        """Whether each text's spans follow one another from its first byte to its last.
+    def project(self, texts: list[bytes], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of all texts' pieces, in bytes of their own text; and of each text whether its pieces tile its normal form.
 
-        Where the normal form only widens spaces, that is so when the pieces are
-        as long as the normal form, which is told for all texts at once.
+        As in the library, a piece for one byte of a character begins where the
+        character does, and only the last of them has its bytes. Where pieces
+        don't tile, their places tell nothing.
         """
-        if len(self.normal.units) or self.normal.remove_extra:
-            out = []
-            for raw, x in zip(texts, ids):
-                begin, end = self.spans(raw, x)
-                out.append(not raw if not x else bool(begin[0] == 0 and end[-1] == len(raw) and (begin[1:] == end[:-1]).all()))
-            return out
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = np.append(0, np.cumsum(self.sizes[np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum()))], dtype=np.int64))
-        at = np.append(0, np.cumsum(count))
-        wide, prefix = len(self.normal.space) - 1, len(self.normal.space) * self.normal.dummy_prefix
-        want = np.array([len(raw) + wide * raw.count(b" ") + prefix if raw else 0 for raw in texts], np.int64)
-        return (total[at[1:]] - total[at[:-1]] == want).tolist()
+        sizes = self.sizes[np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum()))]
+        border = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        of = np.append(0, np.cumsum(count))
+        bounds = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+        if self.normal.remove_extra:
+            if len(texts) > 1:
+                return self.each(texts, ids)
+            body, place = self.normal(b"".join(texts))
+            tiled = np.array([border[-1] == len(body)] * len(texts), bool)
+            place = place[np.minimum(border, len(body))]
+            return place[:-1], place[1:], tiled
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        place, at = np.full(len(border), len(data)), np.empty(len(bounds), np.int64)
+        done = n = 0
+        for upto, body, where in self.normal.forms(data, bounds, self.normal.dummy_prefix):
+            i, j = np.searchsorted(border, (n, n + len(body)))
+            place[i:j] = where[border[i:j] - n]
+            i, j = np.searchsorted(bounds, (done, upto))
+            at[i:j] = n + np.searchsorted(where, bounds[i:j])
+            done, n = upto, n + len(body)
+        at[bounds == len(data)] = n
+        tiled = border[of[1:]] - border[of[:-1]] == np.diff(at)
+        if len(texts) > 1 and not tiled.all():
+            return self.each(texts, ids)
+        row = np.repeat(np.arange(len(texts)), count)
+        return place[:-1] - bounds[row], np.minimum(place[1:], bounds[row + 1]) - bounds[row], tiled
+
+    def each(self, texts: list[bytes], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``project``, one text after another."""
+        begin, end, tiled = zip(*[self.project([t], [x]) for t, x in zip(texts, ids)])
+        return np.concatenate(begin), np.concatenate(end), np.concatenate(tiled)
+
+    def covered(self, texts: list[bytes], ids: list[list[int]]) -> list[bool]:
+        """Whether each text's spans follow one another from its first byte to its last."""
+        begin, end, whole = self.project(texts, ids)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        last = np.cumsum(count)
+        row = np.repeat(np.arange(len(texts)), count)
+        gap = np.flatnonzero((begin[1:] != end[:-1]) & (row[1:] == row[:-1]))
+        whole[row[gap]] = False
+        some = np.flatnonzero(count)
+        whole[some] &= (begin[(last - count)[some]] == 0) & (end[last[some] - 1] == size[some])
+        whole[count == 0] = size[count == 0] == 0
+        return whole.tolist()
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids)
@@ -322,13 +355,14 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         code = encoder(path)
         for batch in batches:
             for i, j, rows in texts_of(batch, text):
-                out = []
-                for raw, (ids, _) in zip(rows, code.encode([r.decode() for r in rows])):
-                    begin, end = code.spans(raw, ids)
-                    out.append([{"id": a, "begin": b, "end": c} for a, b, c in zip(ids, begin.tolist(), end.tolist())])
+                ids = [x for x, _ in code.encode([r.decode() for r in rows])]
+                begin, end, tiled = code.project(rows, ids)
+                if not tiled.all():
+                    raise ValueError("pieces don't tile the normal form")
+                at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.StructArray.from_arrays([pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(at[-1]))), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["id", "begin", "end"])
                 part = batch.slice(i, j - i)
-                kind = pa.list_(pa.struct([("id", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, "pieces"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), flat)], [*part.schema.names, "pieces"])
 
     schema = docs.selectExpr("*", "cast(null as array<struct<id:int,begin:int,end:int>>) as pieces").schema
     return docs.mapInArrow(run, schema)

@@ -99,6 +99,24 @@ def test_spans_of_compiled_map(rule, tmp_path):
         assert len(parts) > 1 and all((np.concatenate([p[k] for p in parts]) == np.concatenate([p[k] for p in whole])).all() for k in (1, 2))
 
 
+def test_digests_make_spans(docs, monkeypatch):
+    """``covered`` is told from the spans of all pieces over the normal form, which the map gives."""
+    code, made = pieces.encoder(PIECES), []
+    forms = pieces.Normalizer.forms
+
+    def noted(self, data, bounds, *more):
+        made.append(data.tobytes())
+        return forms(self, data, bounds, *more)
+
+    monkeypatch.setattr(pieces.Normalizer, "forms", noted)
+    raw = [r.text.encode() for r in docs.where("text is not null").limit(20).collect()]
+    ids = [x for x, _ in code.encode([r.decode() for r in raw])]
+    assert code.covered(raw, ids) == [True] * len(raw) and made == [b"".join(raw)]
+    begin, end, tiled = code.project(raw, ids)
+    assert list(zip(begin.tolist(), end.tolist())) == [(p.begin, p.end) for r in raw for p in code.library.encode(r, return_type="proto").pieces] and tiled.all()
+    assert code.covered(raw, [*ids[:-1], ids[-1][:-1]]) == [*[True] * (len(raw) - 1), False]
+
+
 def test_borders():
     code, rng = pieces.encoder(PIECES), random.Random(5)
     parts = [" ", "  ", "\n", "a", "the", "▁", "é", "\t", "漢", "😀", "<s>", "\0", "x1"]
