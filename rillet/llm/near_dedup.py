@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import join_groups, marked, small_batches, without
+from rillet.llm.common import join_groups, lean, marked, small_batches, without
 from rillet.llm.components import stars
 from rillet.llm.textscan import NOT_SPACE, Words, buffers, mix, pieces
 from rillet.scratch import cut, shared_dir
@@ -116,7 +116,7 @@ def features(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), keys], ["doc_id", "n", "s1", "s2", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, regs array<long>")
 
 
 def accidental(n: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def propose(members: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield pairs(held)
 
-    return ordered.mapInArrow(run, "band int, key long, sub long, a long, b long").where("a <> b")
+    return ordered.mapInArrow(lean(run), "band int, key long, sub long, a long, b long").where("a <> b")
 
 
 def placed(members: DataFrame, folder: str) -> DataFrame:
@@ -273,7 +273,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["place", "n"])
 
     out = np.zeros(PLACES, np.int64)
-    got = texts.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(lean(count), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out[got.column("place").to_numpy()] = got.column("n").to_numpy()
     return out
 
@@ -303,7 +303,7 @@ def prefix_pairs(held: DataFrame, folder: str) -> DataFrame:
             flat = [pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(sizes, pa.int32()).take(row), pa.array(np.concatenate(places)), pa.array(np.concatenate(lead))]
             yield pa.RecordBatch.from_arrays(flat, ["token", "doc_id", "owner", "n", "place", "lead"])
 
-    made = cut(held.select("doc_id", "owner", "text").mapInArrow(entries, "token long, doc_id long, owner long, n int, place int, lead boolean"), folder, "entries")
+    made = cut(held.select("doc_id", "owner", "text").mapInArrow(lean(entries), "token long, doc_id long, owner long, n int, place int, lead boolean"), folder, "entries")
     # tokens of one owner alone, or in no set's index, make no pairs
     telling = made.groupBy("token").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("lead").alias("any")).where("lo <> hi and any").select("token")
     live = made.join(telling, "token")

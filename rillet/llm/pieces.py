@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from rillet.llm.common import small_batches
+from rillet.llm.common import lean, small_batches
 from rillet.llm.textscan import buffers
 
 SPACE = "▁"
@@ -35,6 +36,8 @@ SPACE = "▁"
 WINDOW = 1 << 17
 #: The most parts that a worker remembers; two workers share an executor's memory with its heap.
 WORDS = 300_000
+#: Parts of more characters aren't remembered, so that what is has a largest size (37 MB for the words of an ordinary corpus).
+LONGEST = 64
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -198,7 +201,10 @@ class Encoder:
             ids = self.library.encode("\n")
             self.space_id, self.line_ids = ids[0], ids[1:]
             self.divides = ids[0] == self.library.piece_to_id(SPACE) and len(self.line_ids) == 1
-        self.words: dict[str, tuple[list[int], str]] = {}
+        self.code = "H" if len(sizes) <= 1 << 16 else "I"
+        self.names = list(map(str, range(len(sizes))))
+        #: The ids of parts, as the bytes of an array.
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text and their decimal form, joined by commas."""
@@ -209,18 +215,15 @@ class Encoder:
         more = {}
         if new:
             more = self.unseen(new)
-            if len(known) < WORDS:
-                known.update(more)
-        out = []
+            known.update(islice((x for x in more.items() if len(x[0]) <= LONGEST), max(0, WORDS - len(known))))
+        names, out = self.names, []
         for ps in split:
             try:
-                got = [known[p] for p in ps]
+                got = b"".join([known[p] for p in ps])
             except KeyError:
-                got = [known[p] if p in known else more[p] for p in ps]
-            ids: list[int] = []
-            for x, _ in got:
-                ids += x
-            out.append((ids, ",".join([s for _, s in got])))
+                got = b"".join([known[p] if p in known else more[p] for p in ps])
+            ids = array(self.code, got).tolist()
+            out.append((ids, ",".join([names[x] for x in ids])))
         return out
 
     def borders(self, text: str) -> list[str]:
@@ -248,7 +251,7 @@ class Encoder:
                 out.append(" " * (run - 1))
         return out
 
-    def unseen(self, parts: list[str]) -> dict[str, tuple[list[int], str]]:
+    def unseen(self, parts: list[str]) -> dict[str, bytes]:
         """A part stands for a space and itself; one that begins with a line end, for what follows that, or for it alone."""
         got = self.library.encode(parts, num_threads=1)
         out = {}
@@ -257,7 +260,7 @@ class Encoder:
                 ids = self.line_ids if p == "\n" else ids[2:]
             elif not p:
                 ids = [self.space_id]
-            out[p] = (ids, ",".join(map(str, ids)))
+            out[p] = array(self.code, ids).tobytes()
         return out
 
     def spans(self, text: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +368,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), flat)], [*part.schema.names, "pieces"])
 
     schema = docs.selectExpr("*", "cast(null as array<struct<id:int,begin:int,end:int>>) as pieces").schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -378,7 +381,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
             rows = [x or [] for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.decode(rows) if rows else [], pa.string())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.selectExpr("*", f"cast(null as string) as {name}").schema)
+    return docs.mapInArrow(lean(run), docs.selectExpr("*", f"cast(null as string) as {name}").schema)
 
 
 def digests(docs: DataFrame, path: str, more: list[str] = []) -> DataFrame:  # noqa: B006
@@ -409,7 +412,7 @@ def digests(docs: DataFrame, path: str, more: list[str] = []) -> DataFrame:  # n
                 )
 
     schema = docs.drop("text").selectExpr("*", "0L as n_tokens", "'' as ids_sha256", "'' as decoded_sha256", "true as covered").schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import Smallest, held_out, one_each, small_batches
+from rillet.llm.common import Smallest, held_out, lean, one_each, small_batches
 from rillet.llm.textscan import ALNUM, Words, buffers, mix, pieces
 
 BITS = 20
@@ -150,7 +150,7 @@ def samples(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, r
             tie = pa.array(list(map(zlib.crc32, out)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), batch.column(4), tie, pa.array(out, pa.binary())], ["doc_id", "y", "o", "h", "tie", "places"])
 
-    found = chosen.mapInArrow(features, "doc_id long, y int, o long, h long, tie long, places binary")
+    found = chosen.mapInArrow(lean(features), "doc_id long, y int, o long, h long, tie long, places binary")
     return one_each(found, "doc_id", "h"), totals
 
 
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, rows:
         yield pa.RecordBatch.from_pydict({"places": pa.array([model.places.tobytes()], pa.binary()), "weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias], "none": pa.array([y.count(0)], pa.int64()), "some": pa.array([y.count(1)], pa.int64())})
 
     ordered = taught.select("y", "places", "o", "doc_id", "tie").repartition(1).sortWithinPartitions("o", "doc_id", "tie").select("y", "places")
-    got = ordered.mapInArrow(learn, "places binary, weights binary, bias double, none long, some long").collect()
+    got = ordered.mapInArrow(lean(learn), "places binary, weights binary, bias double, none long, some long").collect()
     if not got:
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
     one = got[0]
@@ -190,7 +190,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at), dense))], [*batch.schema.names, name])
 
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,5 +202,5 @@ def query(spark, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1), dense))], ["doc_id", "score"])
 
-    out = docs.mapInArrow(score, "doc_id long, score double")
+    out = docs.mapInArrow(lean(score), "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

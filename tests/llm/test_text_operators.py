@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from rillet.llm import exact_dedup, licenses, pieces, quality, textscan, token_shards, toxicity
+from rillet.llm import common, exact_dedup, licenses, pieces, quality, textscan, token_shards, toxicity
 from rillet.scratch import shared_dir
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -117,6 +118,32 @@ def test_digests_make_spans(docs, monkeypatch):
     assert code.covered(raw, [*ids[:-1], ids[-1][:-1]]) == [*[True] * (len(raw) - 1), False]
 
 
+def test_remembered_parts(monkeypatch):
+    """No batch brings more than the bound, long parts aren't remembered, and what is takes little; ids stay the library's."""
+    code, rng = pieces.Encoder(PIECES), random.Random(9)
+    words = list({"".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(20000)})
+    tracemalloc.start()
+    code.encode([" ".join(words)])
+    took = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(code.words) == len(words) and took < 250 * len(words)
+    monkeypatch.setattr(pieces, "WORDS", 50)
+    code = pieces.Encoder(PIECES)
+    texts = [" ".join(words[:200]), " ".join([*words[150:300], "z" * 5000])]
+    assert [x for x, _ in code.encode(texts)] == code.library.encode(texts) and len(code.words) == 50
+    monkeypatch.setattr(pieces, "WORDS", 5000)
+    assert [x for x, _ in code.encode(texts)] == code.library.encode(texts) and len(code.words) == 300
+
+
+def test_memory_is_given_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    run = common.lean(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 4] and done == [1]
+    next(part := run(iter([1, 2]))), part.close()
+    assert done == [1, 1]
+
+
 def test_borders():
     code, rng = pieces.encoder(PIECES), random.Random(5)
     parts = [" ", "  ", "\n", "a", "the", "▁", "é", "\t", "漢", "😀", "<s>", "\0", "x1"]
