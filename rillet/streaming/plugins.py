@@ -192,20 +192,21 @@ def analyse(df: DataFrame, plugin: AnalysisPlugin, key: str | None = None, order
 
     Returns the injected messages with the columns key, kind ('message', or one
     'state' row for each key, whose payload is the preserved state), processed
-    and failures. ``previous`` gives such state rows to start from.
+    and failures. ``previous`` gives such state rows to start from; they pass
+    ahead of their key's messages, for a join before the shuffle by key may
+    take its place, and adaptive execution then splits keys over tasks.
     """
     keyed = df.withColumn("_key", F.lit("") if key is None else F.coalesce(F.col(key).cast("string"), F.lit("")))
+    keyed = keyed.withColumns({"_old": F.lit(None).cast("string"), "_message": F.lit(True)})
     if previous is not None:
-        old = previous.where("kind = 'state'").select(F.col("key").alias("_key"), F.col("payload").alias("_old"))
-        keyed = keyed.join(old, "_key", "left")
-    else:
-        keyed = keyed.withColumn("_old", F.lit(None).cast("string"))
-    ordered = keyed.repartition("_key").sortWithinPartitions("_key", order)
+        old = previous.where("kind = 'state'").select(F.col("key").alias("_key"), F.col("payload").alias("_old"), F.lit(False).alias("_message"))
+        keyed = keyed.unionByName(old, allowMissingColumns=True)
+    ordered = keyed.repartition("_key").sortWithinPartitions("_key", "_message", order)
     ddl = f"key string, kind string, processed bigint, failures bigint, {MESSAGE_DDL}"
     schema = arrow_schema(("key", pa.string()), ("kind", pa.string()), ("processed", pa.int64()), ("failures", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        now, state, emit, n, bad, out = None, {}, None, 0, 0, []
+        now, state, emit, n, bad, out, kept = None, {}, None, 0, 0, [], (None, None)
 
         def close():
             plugin.timer_event(ns, True, state, emit)
@@ -215,10 +216,13 @@ def analyse(df: DataFrame, plugin: AnalysisPlugin, key: str | None = None, order
         for batch in batches:
             for row in batch.to_pylist():
                 k, old = row.pop("_key"), row.pop("_old")
+                if not row.pop("_message"):
+                    kept = k, old
+                    continue
                 if k != now:
                     if now is not None:
                         out += close()
-                    now, state, emit, n, bad = k, restore(old, plugin.version), Emitter(config), 0, 0
+                    now, state, emit, n, bad = k, restore(kept[1] if kept[0] == k else None, plugin.version), Emitter(config), 0, 0
                 n += 1
                 bad += call(plugin, row, state, emit) == FAIL
                 out += [{"key": now, "kind": "message"} | m for m in emit.take()]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rillet.plans.adapters import events
 from rillet.streaming import examples, plugins
@@ -19,6 +20,23 @@ def test_counter_and_restore(spark):
     assert plugins.analyse(e, newer, previous=first).where("kind = 'message'").first().payload == str(total)
 
 
+def test_restored_state_of_joins_that_become_broadcasts(spark):
+    """Each key stays in one task, whatever adaptive execution makes of tables that are thought large and turn out small."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        e = events(spark, SF).repartition(3)
+        counts = {r.type: r["count"] for r in e.groupBy("type").count().collect()}
+        first = plugins.analyse(e.where("type <> 'error'"), examples.Counter(), "type")
+        unseen = first.where("kind = 'state'").limit(1).withColumns({"key": F.lit("zz")})
+        again = plugins.analyse(e, examples.Counter(), "type", previous=first.unionByName(unseen)).where("kind = 'message'").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r.key, r.payload) for r in again) == sorted((t, str(n if t == "error" else 2 * n)) for t, n in counts.items())
+
+
 def test_state_text():
     state = {"n": 1, "inf": float("inf"), "t": [1, {"x": None}], "f": print}
     back = plugins.restore(plugins.preserve(state, 3), 3)
