@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from rillet.schema import HEADERS, MESSAGE_DDL, arrow_fields
+from rillet.schema import HEADERS, MESSAGE_DDL, VALUES, arrow_fields
 from rillet.sources import codec, wire
 
 SCAN_DDL = f"path string, offset bigint, discarded bigint, {MESSAGE_DDL}, raw binary"
 WINDOW, LOOKBACK = 4 << 20, 1 << 20
+#: Bytes of stored tables for each partition that codes messages, and the most partitions; sizes from UNKNOWN on are no sizes.
+PART, MOST_PARTS, UNKNOWN = 2 << 20, 20_000, 1 << 50
 
 
 def place(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -125,14 +127,23 @@ def scan(part: Range, options: dict) -> Iterator[pa.RecordBatch]:
     def whole(begin: int, certain: bool) -> Iterator[pa.RecordBatch | int]:
         """Batches from ``begin`` on, or the place of one with something that is no message, unless all are ``certain``."""
         nonlocal reached
-        rows, held, resume = [], 0, begin
+        rows, held, resume, before, ahead = [], 0, begin, [], 0
         for at, after, message in found(f, begin, part.end, most, decoded and certain, part.limit):
             if at < part.begin:
                 reached = max(reached, after)
-                if decoded and not certain and not passes(message["raw"]):
-                    yield begin
-                    return
+                if decoded and not certain:
+                    before.append(message["raw"])
+                    ahead += after - at
+                    if ahead > WINDOW:
+                        if not pass_all(before):
+                            yield begin
+                            return
+                        before, ahead = [], 0
                 continue
+            if before and not pass_all(before):
+                yield begin
+                return
+            before = []
             rows.append((at, after, message["raw"]))
             held += after - at
             if len(rows) == 5000 or held > WINDOW:
@@ -141,12 +152,14 @@ def scan(part: Range, options: dict) -> Iterator[pa.RecordBatch]:
                 if made is None:
                     return
                 rows, held, resume = [], 0, after
-        if rows:
+        if before and not pass_all(before):
+            yield begin
+        elif rows:
             made = batch(rows)
             yield resume if made is None else made
 
-    def passes(raw: bytes) -> bool:
-        return wire.decode(pa.array([raw], pa.binary()))[1].null_count == 1
+    def pass_all(raws: list[bytes]) -> bool:
+        return wire.decode(pa.array(raws, pa.binary()))[1].null_count == len(raws)
 
     with opened(part.path) as f:
         for made in whole(back, False):
@@ -270,22 +283,68 @@ def register(spark) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, where it has fewer: coding costs more than moving rows."""
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    """``df`` in even partitions, as many as its size asks for and no fewer than there are cores: coding costs more than moving rows.
+
+    Ranges of a file tell nothing of the rows in them, for a Parquet row group is read by one task, however many ranges it spans.
+    """
+    plan = df._jdf.queryExecution()
+    if df.isStreaming or "Exchange" in plan.executedPlan().toString():
         return df  # counting partitions would run what comes before
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+    cores, leaves = df.sparkSession.sparkContext.defaultParallelism, plan.optimizedPlan().collectLeaves()
+    size = sum(n for k in range(leaves.size()) if (n := int(str(leaves.apply(k).stats().sizeInBytes()))) < UNKNOWN)
+    wanted = max(cores, min(-(-size // PART), MOST_PARTS))
+    if not size and df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(wanted)
+
+
+_LISTS = list(VALUES.values())
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` (messages) on its way to Python: null lists of fields are empty ones, and a number in each field tells which.
+
+    For each row it writes, Spark walks the rows since a list column's last list to learn the batch's bytes: with lists that are
+    mostly null, as all but one of a field's are, that is quadratic in the rows of a batch.
+    """
+    nulls = lambda f: sum((f[c].isNull().cast("int") * (1 << k) for k, c in enumerate(_LISTS)), F.lit(0))
+    kind = {c.name: c.dataType for c in df.schema["fields"].dataType.elementType.fields}
+
+    def dense(f: Column) -> Column:
+        lists = [F.coalesce(f[c], F.array().cast(kind[c])).alias(c) for c in _LISTS]
+        return F.when(f.isNotNull(), F.struct(*[f[n].alias(n) for n in kind if n not in _LISTS], *lists, nulls(f).alias("nulls")))
+
+    return df.withColumn("fields", F.transform("fields", dense))
+
+
+def received(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of ``sent`` messages as they were."""
+    at = batch.schema.get_field_index("fields")
+    lists = batch.column(at) if not batch.column(at).offset else batch.column(at).take(pa.array(range(batch.num_rows)))
+    fields, member = lists.values, {f.name: f for f in arrow_fields()}["fields"].type.value_type
+    nulls = fields.field("nulls").fill_null(0).to_numpy(zero_copy_only=False)
+    columns = []
+    for f in member:
+        own = fields.field(f.name)
+        if f.name in _LISTS:
+            own = own if own.type == f.type else own.cast(f.type)
+            gone = pa.array((nulls >> _LISTS.index(f.name)) & 1 != 0)
+            own = pa.ListArray.from_arrays(own.offsets, own.values, type=f.type, mask=gone)
+        columns.append(own)
+    whole = pa.StructArray.from_arrays(columns, fields=list(member), mask=fields.is_null() if fields.null_count else None)
+    back = pa.ListArray.from_arrays(lists.offsets, whole, mask=lists.is_null() if lists.null_count else None)
+    names = batch.schema.names
+    return pa.RecordBatch.from_arrays([back if k == at else c for k, c in enumerate(batch.columns)], names)
 
 
 def encoded(df: DataFrame, framed: bool = False, name: str = "pb") -> DataFrame:
     """``df`` (messages) with a binary column of each message; errors end the task."""
 
     def run(batches):
-        for batch in batches:
+        for batch in map(received, batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, wire.encode(batch, framed)], [*batch.schema.names, name])
 
-    df = spread(df)
-    return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast("binary")).schema)
+    return sent(spread(df)).mapInArrow(run, df.withColumn(name, F.lit(None).cast("binary")).schema)
 
 
 def decoded(df: DataFrame, column: str = "pb", strict: bool = False, others: list[str] = ()) -> DataFrame:

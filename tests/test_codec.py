@@ -209,3 +209,40 @@ def test_scan_of_broken_files(tmp_path):
         assert [(at, raw) for at, _, raw in got] == [(at, raw) for at, _, raw in want]
         if step == len(data):
             assert got == want
+
+
+def test_lists_on_their_way_to_python(spark):
+    """Null lists go as empty ones, which Spark writes in linear time, and come back null; empty ones and null fields stay."""
+    from rillet.schema import MESSAGE_DDL
+    from rillet.sources import framed
+
+    rows, _ = odd_messages(30)
+    rows += [rows[0] | {"fields": None}, rows[0] | {"fields": []}, rows[0] | {"fields": [None, *rows[1]["fields"]]}, rows[0] | {"fields": [{"name": "e", "value_type": 2, "value_integer": [], "value_bool": None}]}]
+    df = spark.createDataFrame([{"fields": None} | r for r in rows], MESSAGE_DDL)
+    lists = framed._LISTS
+    for r in framed.sent(df).collect():
+        assert all(f[c] is not None for f in r.fields or [] if f is not None for c in lists)
+
+    def back(batches):
+        for batch in batches:
+            yield framed.received(batch.slice(0, 5))
+            yield framed.received(batch.slice(5))
+
+    assert framed.sent(df.coalesce(1)).mapInArrow(back, df.schema).collect() == df.coalesce(1).collect()
+
+
+def test_rows_are_spread_evenly(spark, tmp_path):
+    """A file of one row group and many ranges is read by one task; coding has more, of like size, and more of them for larger files."""
+    from rillet.sources import framed
+
+    path = str(tmp_path / "t")
+    spark.range(0, 400_000, 1, 1).selectExpr("id", "uuid() as x").write.parquet(path)
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > 4
+        sizes = framed.spread(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert len(sizes) > 4 and sum(sizes) == 400_000 and max(sizes) < 2 * min(sizes)
