@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
@@ -224,22 +226,25 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """A file of frames per task, moved into place when the job commits; files that it replaces go only then."""
+    """A file of frames per task, moved into place when the job commits; files that it replaces go only then.
+
+    Files are named by the time of their job and the number of their task, so sorted rows follow one another by path and offset.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
+        self.job = f"{time.time_ns():020d}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, folder, _ = place(self.path)
         system.create_dir(folder, recursive=True)
-        path, n = f"{folder}/.{uuid.uuid4().hex}.part", 0
+        path, n = f"{folder}/.{self.job}-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.part", 0
         with system.open_output_stream(path) as f:
             for batch in batches:
                 known = batch.column(batch.schema.get_field_index("raw")).to_pylist() if "raw" in batch.schema.names else [None] * batch.num_rows
                 if None in known or b"" in known:
                     known = [raw or own for raw, own in zip(known, wire.encode(batch).to_pylist())]
-                for raw in known:
-                    f.write(codec.frame_header(len(raw)) + raw)
+                f.write(b"".join(part for raw in known for part in (codec.frame_header(len(raw)), raw)))
                 n += len(known)
         return Written(path, n)
 
@@ -287,15 +292,23 @@ def spread(df: DataFrame) -> DataFrame:
 
     Ranges of a file tell nothing of the rows in them, for a Parquet row group is read by one task, however many ranges it spans.
     """
-    plan = df._jdf.queryExecution()
-    if df.isStreaming or "Exchange" in plan.executedPlan().toString():
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df  # counting partitions would run what comes before
-    cores, leaves = df.sparkSession.sparkContext.defaultParallelism, plan.optimizedPlan().collectLeaves()
-    size = sum(n for k in range(leaves.size()) if (n := int(str(leaves.apply(k).stats().sizeInBytes()))) < UNKNOWN)
-    wanted = max(cores, min(-(-size // PART), MOST_PARTS))
-    if not size and df.rdd.getNumPartitions() * 2 > cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not _size(df) and df.rdd.getNumPartitions() * 2 > cores:
         return df
-    return df.repartition(wanted)
+    return df.repartition(parts(df))
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the stored tables below ``df``, as far as they are known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(n for k in range(leaves.size()) if (n := int(str(leaves.apply(k).stats().sizeInBytes()))) < UNKNOWN)
+
+
+def parts(df: DataFrame) -> int:
+    """How many partitions coding ``df`` should have, by the size of its tables."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-_size(df) // PART), MOST_PARTS))
 
 
 _LISTS = list(VALUES.values())

@@ -142,6 +142,46 @@ def test_text_view():
     assert ":Timestamp: 1969-12-31T23:59:59.999999999Z" in text and "value: a\\\\\\x01\n" in text and "value: 1.5|2\n" in text and ":Logger: <nil>" in text and "value: true" in text
 
 
+def test_texts_of_batches():
+    from rillet.operators.cat import text_of, texts
+
+    rows, _ = odd_messages(200)
+    rows = [r | {"timestamp": r["timestamp"] % 2**60} for r in rows]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(arrow_fields()))
+    assert texts(batch) == [text_of(r) for r in rows] and texts(batch.slice(20, 50)) == [text_of(r) for r in rows[20:70]]
+    rows[3]["fields"] = None
+    assert texts(pa.RecordBatch.from_pylist(rows, batch.schema)) == [text_of(r) for r in rows]
+
+
+def test_sorted_rows_follow_one_another_in_files(spark, tmp_path):
+    """Sorted messages are written by more tasks than one, and their order is that of path and offset, also over two jobs."""
+    from rillet.operators import cat
+    from rillet.plans import catalog
+    from rillet.sources import framed
+
+    path = catalog._written(spark, "/root/testdata/sf0.001", True)
+    back = [bytes(r.uuid) for r in cat.load(spark, path).orderBy("path", "offset").select("uuid").collect()]
+    want = [bytes(r.uuid) for r in catalog.events(spark, "/root/testdata/sf0.001").orderBy("event_id").select("uuid").collect()]
+    assert back == want and len(framed.files(path)) > 1
+    framed.encoded(catalog.event_messages(spark, "/root/testdata/sf0.001").limit(5), name="raw").select("raw").write.format("framed").mode("append").save(path)
+    tail = {bytes(r.uuid) for r in cat.select(cat.load(spark, path), "TRUE", 5).collect()}
+    assert tail == {bytes(r.uuid) for r in catalog.events(spark, "/root/testdata/sf0.001").limit(5).collect()}
+
+
+def test_messages_ahead_of_a_range_are_checked_together(tmp_path, monkeypatch):
+    from rillet.sources import framed
+
+    rows, _ = odd_messages(300)
+    raws = [codec.encode(m) for m in rows]
+    data = b"".join(codec.frame_header(len(raw)) + raw for raw in raws)
+    path, calls, decode = str(tmp_path / "log"), [], wire.decode
+    open(path, "wb").write(data)
+    monkeypatch.setattr(wire, "decode", lambda *a: calls.append(1) or decode(*a))
+    half = len(data) // 2
+    got = sum(b.num_rows for b in framed.scan(framed.Range(path, half, len(data)), {}))
+    assert got == sum(at >= half for at, *_ in codec.frames(data)) and len(calls) <= 2
+
+
 def odd_messages(n, seed=1):
     import random
 
