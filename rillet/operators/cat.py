@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillet.functions.scalar import unescape
 from rillet.operators.matcher import matcher
 from rillet.operators.stats import match_counts
-from rillet.schema import HEADERS
+from rillet.schema import HEADERS, VALUES
 from rillet.sources import framed
 
 MAX_MESSAGE = 1 << 30
@@ -41,19 +42,46 @@ def printed(raw: bytes) -> str:
     return "".join("\\\\" if b == 0x5C else chr(b) if 32 <= b < 127 else f"\\x{b:02x}" for b in raw)
 
 
+_SHOW = [str, printed, str, lambda d: "%.17g" % d, lambda b: "true" if b else "false"]
+_EPOCH = dt.datetime(1970, 1, 1)
+_nil = lambda v: "<nil>" if v is None else v
+
+
+def _head(uuid: bytes, timestamp: int, kind, logger, severity, payload, env_version, pid, hostname) -> str:
+    u = uuid.hex()
+    seconds, ns = divmod(timestamp, 10**9)
+    at = _EPOCH + dt.timedelta(seconds=seconds)
+    return (
+        f":Uuid: {u[:8]}-{u[8:12]}-{u[12:16]}-{u[16:20]}-{u[20:]}\n:Timestamp: {at.isoformat(timespec='seconds')}.{ns:09d}Z\n:Type: {_nil(kind)}\n:Logger: {_nil(logger)}\n:Severity: {_nil(severity)}\n"
+        f":Payload: {_nil(payload)}\n:EnvVersion: {_nil(env_version)}\n:Pid: {_nil(pid)}\n:Hostname: {_nil(hostname)}\n:Fields:\n"
+    )
+
+
+def _line(name: str, kind: int, representation: str | None, values: list | None) -> str:
+    return f"    | name: {name} type: {kind} representation: {_nil(representation)} value: {'|'.join(map(_SHOW[kind], values or []))}\n"
+
+
 def text_of(m: dict) -> str:
-    u = m["uuid"].hex()
-    seconds, ns = divmod(m["timestamp"], 10**9)
-    at = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
-    nil = lambda v: "<nil>" if v is None else v
-    lines = [f":Uuid: {u[:8]}-{u[8:12]}-{u[12:16]}-{u[16:20]}-{u[20:]}", f":Timestamp: {at.isoformat(timespec='seconds')}.{ns:09d}Z"]
-    lines += [f":{name}: {nil(m[key])}" for name, key in (("Type", "type"), ("Logger", "logger"), ("Severity", "severity"), ("Payload", "payload"), ("EnvVersion", "env_version"), ("Pid", "pid"), ("Hostname", "hostname"))]
-    lines.append(":Fields:")
-    for f in m["fields"] or []:
-        key = ["value_string", "value_bytes", "value_integer", "value_double", "value_bool"][f["value_type"]]
-        show = [str, printed, str, lambda d: "%.17g" % d, lambda b: "true" if b else "false"][f["value_type"]]
-        lines.append(f"    | name: {f['name']} type: {f['value_type']} representation: {nil(f['representation'])} value: {'|'.join(map(show, f[key] or []))}")
-    return "\n".join(lines) + "\n\n"
+    lines = [_line(f["name"], f["value_type"], f["representation"], f[VALUES[f["value_type"]]]) for f in m["fields"] or []]
+    return _head(*(m[h] for h in HEADERS)) + "".join(lines) + "\n"
+
+
+def texts(batch: pa.RecordBatch) -> list[str]:
+    """``text_of`` of each message, from whole columns: of a field's lists only that of its type is looked at."""
+    of = lambda name: batch.column(batch.schema.get_field_index(name))
+    lists = of("fields")
+    fields, at = lists.values, lists.offsets.to_pylist()
+    kinds = fields.field("value_type")
+    if lists.null_count or fields.null_count or kinds.null_count or not set(kinds.unique().to_pylist()) <= set(VALUES):
+        return [text_of(r) for r in batch.select([*HEADERS, "fields"]).to_pylist()]
+    kinds = kinds.to_numpy(zero_copy_only=False)
+    names, shown, lines = fields.field("name").to_pylist(), fields.field("representation").to_pylist(), [""] * len(fields)
+    for kind, column in VALUES.items():
+        mine = np.flatnonzero(kinds == kind)
+        for k, values in zip(mine.tolist(), fields.field(column).take(pa.array(mine)).to_pylist()):
+            lines[k] = _line(names[k], kind, shown[k], values)
+    heads = map(_head, *(of(h).to_pylist() for h in HEADERS))
+    return [head + "".join(lines[a:b]) + "\n" for head, a, b in zip(heads, at, at[1:])]
 
 
 def text(messages: DataFrame, *keep: str) -> DataFrame:
@@ -62,10 +90,13 @@ def text(messages: DataFrame, *keep: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = batch.select([*HEADERS, "fields"]).to_pylist()
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array([text_of(r) for r in rows], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(texts(batch), pa.string())], names)
 
-    return messages.mapInArrow(run, messages.select(*keep, F.lit("").alias("text")).schema)
+    needed = list(dict.fromkeys([*keep, *HEADERS, "fields"]))
+    sent = framed.sent(framed.spread(messages.select(*needed)))
+    if "fields" in keep:
+        return sent.mapInArrow(lambda batches: run(map(framed.received, batches)), messages.select(*keep, F.lit("").alias("text")).schema)
+    return sent.mapInArrow(run, messages.select(*keep, F.lit("").alias("text")).schema)
 
 
 def frames(messages: DataFrame) -> DataFrame:
@@ -74,10 +105,19 @@ def frames(messages: DataFrame) -> DataFrame:
     return raw.select("raw")
 
 
+def _discarded(path: str) -> Column:
+    size = sum(framed.files(path).values())
+    return (F.lit(size) - F.coalesce(F.sum(framed.framed_size(F.col("raw")).cast("long")), F.lit(0))).alias("discarded")
+
+
 def discarded(messages: DataFrame, path: str) -> DataFrame:
     """How many bytes of the files of ``messages`` are in no frame, what follows the last one included."""
-    size = sum(framed.files(path).values())
-    return messages.agg((F.lit(size) - F.coalesce(F.sum(framed.framed_size(F.col("raw")).cast("long")), F.lit(0))).alias("discarded"))
+    return messages.agg(_discarded(path))
+
+
+def counts(messages: DataFrame, path: str, expression: str = "TRUE") -> DataFrame:
+    """processed, matched and discarded in one pass over the files."""
+    return match_counts(messages, matcher(unescape(expression)), _discarded(path))
 
 
 def follow(spark: SparkSession, path: str, expression: str = "TRUE", max_message: int | None = None) -> DataFrame:

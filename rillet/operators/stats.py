@@ -24,9 +24,9 @@ def running_sd(x: Column) -> Column:
     return F.coalesce(F.stddev_samp(_finite(x)), F.lit(0.0))
 
 
-def match_counts(df: DataFrame, condition: Column) -> DataFrame:
-    """processed and matched, in one pass."""
-    return df.agg(F.count("*").alias("processed"), F.count_if(F.coalesce(condition, F.lit(False))).alias("matched"))
+def match_counts(df: DataFrame, condition: Column, *more: Column) -> DataFrame:
+    """processed, matched and more aggregates, in one pass."""
+    return df.agg(F.count("*").alias("processed"), F.count_if(F.coalesce(condition, F.lit(False))).alias("matched"), *more)
 
 
 def plugin_stats(calls: DataFrame, output_plugin: bool = False) -> DataFrame:
